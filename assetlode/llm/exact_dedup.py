@@ -14,14 +14,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
+from assetlode.llm.hot import lookup
 from assetlode.plans.staging import materialize, staging_path
 
 WHITE_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
-#: A digest with more than this share of a batch's rows is hot; there are at most 1/HOT_SHARE of them.
-HOT_SHARE = 1 / 1000
 
 
 def normalised(text) -> F.Column:
@@ -41,15 +40,18 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def ensure(self, id_type: str) -> None:
+        """An empty index where there is none yet."""
+        if not self.exists():
+            empty = self.spark.createDataFrame([], f"digest binary, keep_id {id_type}, n_rows long")
+            self._write(empty.write.option("path", staging_path(self.spark, self.table)))
+
     def append(self, fresh: DataFrame) -> None:
         """Add rows; one writer per bucket, so that a batch adds one file to each."""
-        writer = (
-            fresh.select("digest", "keep_id", "n_rows").repartition(self.buckets, "digest")
-            .write.bucketBy(self.buckets, "digest").sortBy("digest")
-        )
-        if not self.exists():
-            writer = writer.option("path", staging_path(self.spark, self.table))
-        writer.mode("append").saveAsTable(self.table)
+        self._write(fresh.select("digest", "keep_id", "n_rows").repartition(self.buckets, "digest").write)
+
+    def _write(self, writer: DataFrameWriter) -> None:
+        writer.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.table)
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
@@ -70,16 +72,10 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
     )
     best = F.min(F.struct((-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c")))
     groups = rows.groupBy("digest").agg(best.getField("c").alias("keep_id"), F.count(F.lit(1)).alias("n_rows"))
-    if index.exists():
-        known = index.read().select("digest", F.col("keep_id").alias("old_id"), F.col("n_rows").alias("old_rows"), F.lit(True).alias("known"))
-        groups = groups.hint("merge").join(known, "digest", "left")
-    else:
-        groups = groups.withColumns({"old_id": F.lit(None).cast(dict(docs.dtypes)["doc_id"]), "old_rows": F.lit(0).cast("long"), "known": F.lit(False)})
-    groups = materialize(groups, "digest-groups")
-    if index.exists():
-        index.append(groups.hint("merge").join(index.read().select("digest"), "digest", "left_anti"))
-    else:
-        index.append(groups)
+    index.ensure(dict(docs.dtypes)["doc_id"])
+    known = index.read().select("digest", F.col("keep_id").alias("old_id"), F.col("n_rows").alias("old_rows"), F.lit(True).alias("known"))
+    groups = materialize(groups.hint("merge").join(known, "digest", "left"), "digest-groups")
+    index.append(groups.hint("merge").join(index.read().select("digest"), "digest", "left_anti"))
 
     known = F.coalesce("known", F.lit(False))
     verdicts = groups.select(
@@ -90,13 +86,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
         "n_rows",
     )
     total = rows.count()
-    hot = F.col("n_rows") > total * HOT_SHARE  # so at most 1/HOT_SHARE rows are broadcast
-    hot_side = verdicts.where(hot & (F.col("n_rows") > 1))
-    is_hot = hot_side.select("digest")
-    split = rows.join(F.broadcast(is_hot.withColumn("is_hot", F.lit(True))), "digest", "left")
-    merged = split.where(F.col("is_hot")).join(F.broadcast(hot_side), "digest").unionByName(
-        split.where(F.col("is_hot").isNull()).join(verdicts, "digest")
-    )
+    merged = lookup(rows, verdicts, "digest", "n_rows", total)
     return merged.select(
         "doc_id",
         "keep_id",

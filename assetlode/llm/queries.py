@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from assetlode.llm import exact_dedup, sharding
+from assetlode.llm import bpe, exact_dedup, html_text, importance, packing, quality_rules, sharding, toxicity, warc
 from assetlode.plans.shipping import ship
 
 
@@ -16,6 +17,59 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), shards=40)
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ship(spark).read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file; a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids").cast("long")).drop("ids")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality_rules.judge(docs, quality_rules.fit(docs, labels(spark, sf_dir)))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(pages(spark, sf_dir))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer("byte_bpe_50k.json")
+    both = bpe.decode(bpe.encode(documents(spark, sf_dir), path), path)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(toxicity.training_rows(docs, labels(spark, sf_dir))))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(pages(spark, sf_dir), least=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(documents(spark, sf_dir), exact_dedup.DigestIndex(spark))
 
@@ -37,7 +91,14 @@ FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)
 def queries() -> dict:
     return {
         "op1_sharding": op1_sharding,
+        "op2_packing": op2_packing,
+        "op3_quality_rules": op3_quality_rules,
+        "op4_html_text": op4_html_text,
+        "op5_bpe": op5_bpe,
+        "op7_toxicity": op7_toxicity,
+        "op8_warc": op8_warc,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_importance": op10_importance,
     }
 
 
