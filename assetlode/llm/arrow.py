@@ -37,3 +37,30 @@ def list_array(rows: list[np.ndarray], kind: pa.DataType = pa.int32()) -> pa.Lis
 
 def longs(values) -> pa.Array:
     return pa.array(values, pa.int64())
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The groups of a stream that is sorted by ``keys``, each as one batch; a group may begin in one batch and end in another."""
+    pending: list[pa.RecordBatch] = []
+    last = None
+
+    def joined() -> pa.RecordBatch:
+        return pending[0] if len(pending) == 1 else pa.Table.from_batches(pending).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows, dtype=bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        starts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, z in zip(starts[:-1], starts[1:]):
+            key = tuple(c[a] for c in columns)
+            if pending and key != last:
+                yield joined()
+                pending = []
+            last = key
+            pending.append(batch.slice(a, z - a))
+    if pending:
+        yield joined()

@@ -17,24 +17,30 @@ from __future__ import annotations
 import functools
 import os
 import re
-from itertools import chain
+from array import array
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetlode.llm.arrow import longs, map_rows
+from assetlode.llm.bpe import byte_letters
 from assetlode.llm.ranking import running_total
 from assetlode.plans.staging import materialize
 
 SEQUENCE = 2048
 END_ID = 1
 DIMS, BITS, SEED = 4, 10, 20
-MEMO_WORDS = 500_000
+MEMO_WORDS = 1_000_000
 #: White space on which libraries differ, or which is rare; texts with it take the tokenizer's own path.
 UNUSUAL_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+#: Words whose normal form is lower case only, in every version of Unicode.
+PLAIN = re.compile(r"[\x21-\x7e\xa1-\u012f\u0131-\u024f]+")
+# Fixed value: how the tokenizer splits a word.
+SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 class WordEncoder:
@@ -47,21 +53,39 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.letters = byte_letters()
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
+
+    def pack(self, ids: list[int]) -> bytes:
+        return array("H" if self.dtype == "<u2" else "I", ids).tobytes()
 
     def _batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word(self, word: str) -> list[int] | None:
+        """The ids of a plain word, straight from the merges; None if the word needs the tokenizer's own preparation."""
+        if not PLAIN.fullmatch(word) or any(a in word for a in self.added):
+            return None
+        word = word.lower()
+        tokenize, out = self.tokenizer.model.tokenize, []
+        for piece in (word,) if word.isalpha() else SPLIT.findall(word):
+            out += [t.id for t in tokenize(piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()]))]
+        return out
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         memo = self.memo
         if len(memo) > MEMO_WORDS:
             memo.clear()
         words = [None if UNUSUAL_SPACE.search(t) else t.split() for t in texts]
-        new = list({w for ws in words if ws for w in ws if w not in memo})
-        memo.update(zip(new, map(tuple, self._batch(new))))
+        new = set().union(*[ws for ws in words if ws]).difference(memo)
+        made = {w: self._word(w) for w in new}
+        odd = [w for w, ids in made.items() if ids is None]
+        made.update(zip(odd, self._batch(odd)))
+        memo.update((w, self.pack(ids)) for w, ids in made.items())
         return [
-            np.fromiter(chain.from_iterable(map(memo.__getitem__, ws)) if ws is not None else self._batch([t])[0], dtype=self.dtype)
+            np.frombuffer(b"".join(map(memo.__getitem__, ws)), dtype=self.dtype) if ws is not None else np.array(self._batch([t])[0], dtype=self.dtype)
             for t, ws in zip(texts, words)
         ]
 
@@ -73,8 +97,8 @@ def word_encoder(path: str) -> WordEncoder:
 
 @functools.lru_cache(maxsize=1)
 def projection() -> np.ndarray:
-    """A row of normal numbers for each hashed token id."""
-    return np.random.default_rng(SEED).standard_normal((1 << 16, DIMS)).astype(np.float32)
+    """For each dimension a normal number for each hashed token id."""
+    return np.random.default_rng(SEED).standard_normal((DIMS, 1 << 16)).astype(np.float32)
 
 
 def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
@@ -108,9 +132,9 @@ def tokenise(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     id_type = dict(docs.dtypes)["doc_id"]
 
     def run(part: pa.RecordBatch) -> dict:
-        encoder, rows = word_encoder(tokenizer_path), projection()
+        encoder, axes = word_encoder(tokenizer_path), projection()
         ids = [np.append(a, np.array([END_ID], dtype=a.dtype)) for a in encoder.encode(part.column("text").to_pylist())]
-        vectors = np.array([rows[a & 0xFFFF].mean(axis=0, dtype=np.float64) for a in ids])
+        vectors = np.array([[axis.take(a).mean(dtype=np.float64) for axis in axes] for a in (a.astype(np.intp) & 0xFFFF for a in ids)])
         out = {"row": part.column("row"), "doc_id": part.column("doc_id"), "n": longs([len(a) for a in ids]), "ids": pa.array([a.tobytes() for a in ids], pa.binary())}
         return out | {f"c{i}": pa.array(vectors[:, i]) for i in range(DIMS)}
 

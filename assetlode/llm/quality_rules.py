@@ -1,10 +1,11 @@
 """Quality rules by an isolation forest over rule statistics.
 
 Each text gives a few counts. Two fixed rules reject on their own; for the rest an
-isolation forest is grown on the statistics of a bounded sample of labelled rows,
-and the threshold on its anomaly score is calibrated on the same rows so that at
-most ``good_lost`` of the good ones fall. One pass over all texts then counts,
-scores and decides.
+isolation forest is grown on the statistics of good rows in a bounded sample of
+labelled ones. Its random splits fall anywhere in the box that all labelled rows
+span, so that a document where no good one is ends on a short path. The threshold
+on the anomaly score is calibrated on the sample so that at most ``good_lost`` of
+the good rows fall. One pass over all texts then counts, scores and decides.
 
 Defined results: a null text has no words and fails the base rules, as an empty
 one does; without labelled rows only the base rules decide; repeated rows are
@@ -76,12 +77,11 @@ def statistics(text: str) -> tuple[list[int], list[float]]:
     lower = size - len(raw.translate(None, LOWER))
     marks = raw.count(b"!") + raw.count(b"?")
     features = [
-        word_chars / max(n, 1),
-        symbols / max(n, 1),
-        dup / max(lines, 1),
-        repeat / max(n, 1),
+        min(1.0, symbols / max(n, 1)) ** 0.5,
+        min(1.0, marks / max(n, 1)) ** 0.5,
         upper / max(upper + lower, 1),
-        marks / max(n, 1),
+        (repeat / max(n, 1)) ** 0.5,
+        (dup / max(lines, 1)) ** 0.5,
     ]
     return [n, word_chars, symbols, dup, repeat], features
 
@@ -103,30 +103,32 @@ def mean_depth(n: int) -> float:
 class IsolationForest:
     """Trees as arrays: feature, split, left, right, and the path length at leaves."""
 
-    def __init__(self, rows: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED):
+    def __init__(self, rows: np.ndarray, box: tuple[np.ndarray, np.ndarray] | None = None, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED):
         rng = np.random.default_rng(seed)
+        low, high = box or (rows.min(axis=0), rows.max(axis=0))
         self.size = min(subsample, len(rows))
         self.limit = int(np.ceil(np.log2(max(self.size, 2))))
-        self.trees = [self._grow(rows[rng.choice(len(rows), self.size, replace=False)], rng) for _ in range(trees)]
+        self.trees = [self._grow(rows[rng.choice(len(rows), self.size, replace=False)], low, high, rng) for _ in range(trees)]
 
-    def _grow(self, rows: np.ndarray, rng: np.random.Generator):
+    def _grow(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray, rng: np.random.Generator):
         nodes: list[list[float]] = []
 
-        def add(part: np.ndarray, depth: int) -> int:
+        def add(part: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int) -> int:
             me = len(nodes)
             nodes.append([-1, 0.0, 0, 0, depth + mean_depth(len(part))])
-            low, high = part.min(axis=0), part.max(axis=0)
             free = np.flatnonzero(high > low)
-            if depth < self.limit and len(part) > 1 and len(free):
+            if depth < self.limit and len(part) and len(free):
                 f = int(rng.choice(free))
                 at = float(rng.uniform(low[f], high[f]))
                 left = part[:, f] <= at
+                below, above = high.copy(), low.copy()
+                below[f] = above[f] = at
                 nodes[me][:2] = [f, at]
-                nodes[me][2] = add(part[left], depth + 1) if left.any() else me
-                nodes[me][3] = add(part[~left], depth + 1) if (~left).any() else me
+                nodes[me][2] = add(part[left], low, below, depth + 1)
+                nodes[me][3] = add(part[~left], above, high, depth + 1)
             return me
 
-        add(rows, 0)
+        add(rows, low, high, 0)
         table = np.array(nodes)
         return table[:, 0].astype(np.int64), table[:, 1], table[:, 2].astype(np.int64), table[:, 3].astype(np.int64), table[:, 4]
 
@@ -188,7 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, good_lost:
     if len(rows_) < 2:
         return QualityModel(None, 1.0)
     features, good = np.array([r[0] for r in rows_]), np.array([r[1] == 1 for r in rows_])
-    forest = IsolationForest(features)
+    if not good.any():
+        return QualityModel(None, 1.0)
+    forest = IsolationForest(features[good], (features.min(axis=0), features.max(axis=0)))
     return QualityModel(forest, calibrated(forest.score(features), good, good_lost))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlode.llm import bpe, exact_dedup, html_text, importance, packing, quality_rules, sharding, toxicity, warc
+from assetlode.llm import bpe, exact_dedup, html_text, importance, near_join, packing, quality_rules, sharding, toxicity, warc
 from assetlode.plans.shipping import ship
 
 
@@ -57,6 +57,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.join(documents(spark, sf_dir))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(toxicity.training_rows(docs, labels(spark, sf_dir))))
@@ -95,6 +99,7 @@ def queries() -> dict:
         "op3_quality_rules": op3_quality_rules,
         "op4_html_text": op4_html_text,
         "op5_bpe": op5_bpe,
+        "op6_near_join": op6_near_join,
         "op7_toxicity": op7_toxicity,
         "op8_warc": op8_warc,
         "op9_exact_dedup": op9_exact_dedup,
