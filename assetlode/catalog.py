@@ -231,7 +231,6 @@ for _key, _expr in _SORT_SQL.items():
     _down = _key in ("size", "area")
     on_assets(f"sort_inventory_{_key}", f"SELECT asset_id, row_number() OVER (ORDER BY {_expr} {'DESC' if _down else 'ASC'}, asset_id) AS place FROM assets",
               lambda a, k=_key, down=_down: views.sorted_view(a, k, down).select("asset_id", "place"))
-on_groups("sort_preset_0", "SELECT asset_id, row_number() OVER (ORDER BY lower(compression_format), asset_id) AS place FROM assets", lambda g: g)
 on_assets("sort_preset_0", "SELECT asset_id, row_number() OVER (ORDER BY lower(compression_format), asset_id) AS place FROM assets", lambda a: views.sorted_view(a, "compression").select("asset_id", "place"))
 on_assets("sort_preset_1", "SELECT asset_id, row_number() OVER (ORDER BY file_size DESC, asset_id) AS place FROM assets", lambda a: views.sorted_view(a, "size", True).select("asset_id", "place"))
 on_assets("sort_preset_2", "SELECT asset_id, row_number() OVER (ORDER BY lower(path), asset_id) AS place FROM assets", lambda a: views.sorted_view(a, "path").select("asset_id", "place"))
@@ -306,7 +305,7 @@ def escape_html(s, d):
     return X.table(s, d, "pages").select("page_id", F.md5(S.escape_html(F.col("html"))).alias("escaped"))
 
 
-@query("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / (SELECT 1) / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 4)) AS v FROM embeddings")
+@query("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 4)) AS v FROM embeddings")
 def l2_normalize(s, d):
     v = X.table(s, d, "embeddings")
     return v.select("vec_id", F.transform(S.l2_normalize(F.col("embedding")), lambda x: F.round(x, 4)).alias("v"))
@@ -615,7 +614,7 @@ _N = {c: f"({c} / 255.0::DOUBLE * 2 - 1)" for c in "rgb"}
 _LEN = f"sqrt({_N['r']} * {_N['r']} + {_N['g']} * {_N['g']} + {_N['b']} * {_N['b']})"
 on_px("pixel_inspect", f"""
 WITH s AS (SELECT max(x) FILTER (WHERE img = 0) + 1 AS ow, max(y) FILTER (WHERE img = 0) + 1 AS oh, max(x) FILTER (WHERE img = 1) + 1 AS dw, max(y) FILTER (WHERE img = 1) + 1 AS dh FROM px),
-o AS (SELECT p.*, CAST(least(round(x * (dw / oh::DOUBLE * (oh / ow::DOUBLE))), dw - 1) AS BIGINT) AS x2, CAST(least(round(y * (dh / oh::DOUBLE)), dh - 1) AS BIGINT) AS y2 FROM px p, s WHERE img = 0),
+o AS (SELECT p.*, CAST(least(round(x * (dw / ow::DOUBLE)), dw - 1) AS BIGINT) AS x2, CAST(least(round(y * (dh / oh::DOUBLE)), dh - 1) AS BIGINT) AS y2 FROM px p, s WHERE img = 0),
 j AS (SELECT o.*, (abs(o.r - q.r) + abs(o.g - q.g) + abs(o.b - q.b)) / 3.0::DOUBLE AS gap FROM o JOIN px q ON q.img = 1 AND q.x = o.x2 AND q.y = o.y2)
 SELECT y, x, printf('#%02X%02X%02X%02X', r, g, b, a) AS hex, {", ".join(f"round(CASE WHEN {_LEN} > 1e-4 THEN {_N[c]} / {_LEN} ELSE {_N[c]} END * 100) / 100 AS normal_{n}" for c, n in zip("rgb", "xyz"))},
   concat(printf('%.1f%%', gap / 255 * 100), printf(' (Δ %.0f)', gap)) AS diff FROM j

@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetlode.plans.staging import materialize
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst) with the same components: each node keeps its least neighbour, to which the lesser others are tied.
+
+    Where nodes are tied to several roots, this leaves about one edge a node.
+    """
+    ordered = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst").distinct()
+    low = ordered.withColumn("low", F.min("dst").over(Window.partitionBy("src")))
+    return low.select("src", F.col("low").alias("dst")).union(low.where("dst <> low").select("dst", "low")).distinct()
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
     """``node`` and ``component`` (its least node) for every node of ``edges``; nodes without edges don't appear.
 
+    The edges are contracted first, so that the rounds see about one a node.
     Each round takes the least label among a node's neighbours and then jumps to
     the label of that label, so that paths shorten by half or more. A round's
     labels are written in the shared folder, which cuts the lineage; the loop
     ends when no label changes. Skewed nodes are left to adaptive join splitting.
     """
-    both = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src <> dst")
+    both = contracted(contracted(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"))))
     both = materialize(both.union(both.select("dst", "src")).distinct(), "edges")
     labels = materialize(both.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("node"), F.least("src", "low").alias("component")), "labels")
     for _ in range(max_rounds):

@@ -17,7 +17,7 @@ def luma() -> Column:
 def luma_histogram(px: DataFrame, height: int = 95) -> DataFrame:
     """img, bin, n and bar (n scaled so that the largest bin of the raster has ``height``) for all 256 bins."""
     counts = px.groupBy("img", F.round(luma()).cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    spine = px.select("img").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(255))).cast("bigint"))
+    spine = px.select("img").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(255).cast("bigint"))))
     full = spine.join(counts, ["img", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
     most = F.greatest(F.lit(1), F.max("n").over(Window.partitionBy("img")))
     return full.withColumn("bar", F.round(F.col("n") / most * height).cast("bigint"))
@@ -143,9 +143,7 @@ def dhash_of(px: DataFrame, columns: int = 9, rows: int = 8) -> DataFrame:
     gray = px.where((F.col("x") < columns) & (F.col("y") < rows)).select("img", "y", "x", F.round(luma()).cast("bigint").alias("v"))
     beside = F.lead("v").over(Window.partitionBy("img", "y").orderBy("x"))
     bits = gray.withColumn("beside", beside).where("beside is not null").where(F.col("v") > F.col("beside"))
-    place = (F.col("y") * (columns - 1) + F.col("x")).cast("int")
     found = bits.groupBy("img").agg(F.sum(F.expr(f"shiftleft(1L, CAST(y * {columns - 1} + x AS INT))")).alias("h"))
-    del place
     return px.select("img").distinct().join(found, "img", "left").select("img", F.coalesce("h", F.lit(0)).cast("bigint").alias("h"))
 
 

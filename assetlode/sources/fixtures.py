@@ -78,10 +78,10 @@ def oracle(sql: str, *relations: str) -> str:
     wanted = {n for r in relations for n in [*_NEEDS.get(r, []), r]}
     head = ",\n".join(f"{n} AS ({body})" for n, body in ORACLE_RELATIONS.items() if n in wanted)
     sql = sql.strip()
+    if sql[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head},\n{sql[15:]}" if head else sql
     if sql[:5].upper() == "WITH ":
         return f"WITH {head},\n{sql[5:]}" if head else sql
-    if sql[:15].upper() == "WITH RECURSIVE ":
-        return f"WITH RECURSIVE {head},\n{sql[15:]}"
     return f"WITH {head}\n{sql}" if head else sql
 
 
