@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
-from assetlode.llm.hot import lookup
+from assetlode.llm.hot import lookup, without_ids
 from assetlode.plans.staging import materialize, staging_path
 
 WHITE_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -99,7 +99,5 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
 def keep_first_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """``docs`` without the rows that lose; all columns stay. Of rows repeated under one doc_id one stays."""
     verdict = materialize(deduplicate(docs, index or DigestIndex(docs.sparkSession)).select("doc_id", "kept"), "verdicts")
-    lost = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("__lost")).distinct()
-    out = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("__lost")), "left_anti")
-    repeated = verdict.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    repeated = verdict.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    return without_ids(docs, verdict.where(~F.col("kept")), repeated)

@@ -21,3 +21,13 @@ def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int)
     hot = marked.where(F.col("__hot")).join(F.broadcast(heavy), key)
     rest = marked.where(F.col("__hot").isNull()).join(groups, key)
     return hot.unionByName(rest).drop("__hot")
+
+
+def without_ids(docs: DataFrame, lost: DataFrame, repeated: bool) -> DataFrame:
+    """``docs`` without the doc_ids of ``lost`` (null is one of them if it is there); one row an id if some are ``repeated``."""
+    name = "lost_id"
+    while name in [c.lower() for c in docs.columns]:
+        name = f"_{name}"
+    gone = lost.select(F.col("doc_id").alias(name)).distinct()
+    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+    return out.dropDuplicates(["doc_id"]) if repeated else out

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetlode.llm.arrow import lists, list_array, longs, map_rows, sorted_groups
-from assetlode.llm.hot import lookup
+from assetlode.llm.hot import lookup, without_ids
 from assetlode.operators.components import connected_components
 from assetlode.plans.staging import materialize
 
@@ -236,7 +236,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         keep = [k for k, s in enumerate(same) if s]
         return {c: part.column(c).take(longs(keep)) for c in ("component", "members", "rep")} | {"hashes": list_array([made[k].view(np.int64) for k in keep], pa.int64())}
 
-    texts = known.join(docs.select("doc_id", "text"), F.col("of_id").eqNullSafe(F.col("doc_id"))).select("component", "members", "rep", "digest", "text")
+    # Texts are shuffled once at every size: what they meet grows with them.
+    texts = known.hint("shuffle_hash").join(docs.select("doc_id", "text"), F.col("of_id").eqNullSafe(F.col("doc_id"))).select("component", "members", "rep", "digest", "text")
     exact = map_rows(texts, measure, "component long, members long, rep long, hashes array<long>").dropDuplicates(["rep"])
 
     def check(batches):
@@ -268,7 +269,6 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each class, that of the class id; all columns stay."""
     found = materialize(join(docs, threshold), "near-classes")
-    lost = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__lost")).distinct()
-    out = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("__lost")), "left_anti")
-    repeated = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    stays = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    repeated = found.where(stays).groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    return without_ids(docs, found.where(~stays), repeated)

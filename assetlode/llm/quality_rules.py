@@ -31,7 +31,7 @@ WHITE_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 SAMPLE_ROWS = 20_000
 TREES, SUBSAMPLE, SEED = 100, 256, 3
-GOOD_LOST = 0.002
+GOOD_LOST = 0.001
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -64,10 +64,9 @@ def statistics(text: str) -> tuple[list[int], list[float]]:
     word_chars = len(text) - (size - word_bytes)
     symbols = size - len(raw.translate(None, SYMBOLS))
     seen: set[str] = set()
-    dup = lines = 0
+    dup = 0
     for line in text.split("\n"):
         if line.strip(WHITE_SPACE):
-            lines += 1
             if line in seen:
                 dup += 1
             else:
@@ -81,7 +80,6 @@ def statistics(text: str) -> tuple[list[int], list[float]]:
         min(1.0, marks / max(n, 1)) ** 0.5,
         upper / max(upper + lower, 1),
         (repeat / max(n, 1)) ** 0.5,
-        (dup / max(lines, 1)) ** 0.5,
     ]
     return [n, word_chars, symbols, dup, repeat], features
 

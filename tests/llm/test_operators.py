@@ -22,7 +22,7 @@ from assetlode.plans.shipping import ship  # noqa: E402
 
 WORDS = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa".split()
 #: Names that operators use inside, with values that must not matter.
-CLASHES = {"digest": "x", "n": 1, "row": 2, "text_sha256": "y", "kept": False, "rank": 3, "label": 9, "component": 4, "__lost": 5}
+CLASHES = {"digest": "x", "n": 1, "row": 2, "text_sha256": "y", "kept": False, "rank": 3, "label": 9, "component": 4, "lost_id": 5}
 
 
 def prose(seed: int, n: int) -> str:
