@@ -37,12 +37,6 @@ def ranked_members(members: DataFrame, group: str, *order: Column) -> DataFrame:
     )
 
 
-def numbered(groups: DataFrame, group: str, name: str = "group_no") -> DataFrame:
-    """Groups numbered from 1 by their least path. One row per group goes into the numbering."""
-    heads = groups.groupBy(group).agg(F.min("path").alias("head"))
-    return groups.join(heads.withColumn(name, F.row_number().over(Window.orderBy("head", group))).drop("head"), group)
-
-
 def perceptual_groups(hashed: DataFrame, distance: int, same_channel_only: bool = False) -> DataFrame:
     """Groups of (id, path, h, width, height, file_size) whose fingerprints are close, directly or by way of others."""
     pairs = hamming_pairs(hashed.select("id", "h"), distance)
