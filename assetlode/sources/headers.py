@@ -106,7 +106,9 @@ def pvr(ext: str, d: bytes) -> Metadata:
     if len(d) >= 52 and _u("<I", d, 0) == 0x03525650:
         return Metadata(_u("<I", d, 28), _u("<I", d, 24), compression_format="PVR v3", has_alpha=True, mipmap_count=max(1, _u("<I", d, 44)))
     _need(len(d) >= 52 and d[44:48] in (b"PVR!", b"PVRT"), "no PVR header")
-    return Metadata(_u("<I", d, 4), _u("<I", d, 0), compression_format="PVR v2", has_alpha=True)
+    # The public layout has the header's size first; archives tagged PVRT begin with the height.
+    at = 4 if d[44:48] == b"PVR!" else 0
+    return Metadata(_u("<I", d, at + 4), _u("<I", d, at), compression_format="PVR v2", has_alpha=True)
 
 
 def crn(ext: str, d: bytes) -> Metadata:
