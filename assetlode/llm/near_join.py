@@ -107,7 +107,8 @@ def sketch(docs: DataFrame, length: int) -> DataFrame:
             low = signature(own)
             digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
             sizes.append(len(own))
-            signs.append((low >> np.uint64(56)).astype(np.uint8).tobytes() if len(own) else b"")
+            # Low bytes: the high ones of a minimum are nearly always zero where a text has many shingles.
+            signs.append((low & np.uint64(0xFF)).astype(np.uint8).tobytes() if len(own) else b"")
             keys.append(prefixes(low, length) if len(own) else np.empty(0, dtype=np.int64))
         return {"row": part.column("row"), "doc_id": part.column("doc_id"), "digest": pa.array(digests, pa.binary()), "size": longs(sizes),
                 "sign": pa.array(signs, pa.binary()), "prefixes": list_array(keys, pa.int64())}
@@ -158,7 +159,7 @@ def verify(part: pa.RecordBatch, threshold: float) -> tuple[np.ndarray, np.ndarr
     """rep, its links in this block and the least document it is connected with, from exact sets."""
     rep, block = part.column("rep").to_numpy(), part.column("block").to_numpy()
     sets = lists(part.column("hashes"))
-    sizes = np.array([len(s) for s in sets], dtype=np.float32)
+    sizes = np.array([len(s) for s in sets], dtype=np.float64)
     every = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(every, kind="stable")
@@ -179,7 +180,7 @@ def verify(part: pa.RecordBatch, threshold: float) -> tuple[np.ndarray, np.ndarr
             m[owner[a:z], place[a:z] - k * width] = 1
             both += m @ m.T
     union = sizes[:, None] + sizes[None, :] - both
-    linked = both >= np.float32(threshold) * union - np.float32(1e-4)
+    linked = both >= threshold * union - 1e-6
     np.fill_diagonal(linked, False)
     if part.column("bi")[0].as_py() != part.column("bj")[0].as_py():
         linked &= block[:, None] != block[None, :]
