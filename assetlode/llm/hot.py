@@ -24,10 +24,14 @@ def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int)
 
 
 def without_ids(docs: DataFrame, lost: DataFrame, repeated: bool) -> DataFrame:
-    """``docs`` without the doc_ids of ``lost`` (null is one of them if it is there); one row an id if some are ``repeated``."""
+    """``docs`` without the doc_ids of ``lost`` (null is one of them if it is there); one row an id if some are ``repeated``.
+
+    What is lost grows with the documents, so rows are shuffled by id at every
+    size, and no broadcast is planned while there are few.
+    """
     name = "lost_id"
     while name in [c.lower() for c in docs.columns]:
         name = f"_{name}"
     gone = lost.select(F.col("doc_id").alias(name)).distinct()
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+    out = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
     return out.dropDuplicates(["doc_id"]) if repeated else out
