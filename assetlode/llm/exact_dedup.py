@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
-from assetlode.llm.hot import lookup, without_ids
+from assetlode.llm.hot import keyed, lookup, only_rows
 from assetlode.plans.staging import materialize, staging_path
 
 WHITE_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -61,17 +61,30 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
     doc_id. Where an earlier batch has the text, its keeper stays and
     ``group_size`` counts that batch's rows too.
     """
-    spark = docs.sparkSession
+    return _verdicts(docs, index).select(
+        "doc_id",
+        "keep_id",
+        F.col("group_size").cast("long").alias("group_size"),
+        (~F.col("old") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
+    )
+
+
+def _verdicts(docs: DataFrame, index: DigestIndex, row: str | None = None) -> DataFrame:
+    """Rows with the verdict on their digest; with the name of a row key, also that key and, as ``keep_row``, the one row of each digest that stays."""
     rows = materialize(
         docs.select(
+            *([F.col(row).alias("row")] if row else []),
             "doc_id",
             F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"),
             F.coalesce(F.char_length("text"), F.lit(0)).alias("n_chars"),
         ),
         "digests",
     )
-    best = F.min(F.struct((-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c")))
-    groups = rows.groupBy("digest").agg(best.getField("c").alias("keep_id"), F.count(F.lit(1)).alias("n_rows"))
+    rank = [(-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c")]
+    best = F.min(F.struct(*rank, *([F.col("row").alias("d")] if row else [])))
+    keep_row = [best.getField("d").alias("keep_row")] if row else []
+    groups = rows.groupBy("digest").agg(best.getField("c").alias("keep_id"), *keep_row, F.count(F.lit(1)).alias("n_rows"))
     index.ensure(dict(docs.dtypes)["doc_id"])
     known = index.read().select("digest", F.col("keep_id").alias("old_id"), F.col("n_rows").alias("old_rows"), F.lit(True).alias("known"))
     groups = materialize(groups.hint("merge").join(known, "digest", "left"), "digest-groups")
@@ -84,20 +97,13 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
         (F.col("n_rows") + F.coalesce("old_rows", F.lit(0))).alias("group_size"),
         known.alias("old"),
         "n_rows",
+        *(["keep_row"] if row else []),
     )
-    total = rows.count()
-    merged = lookup(rows, verdicts, "digest", "n_rows", total)
-    return merged.select(
-        "doc_id",
-        "keep_id",
-        F.col("group_size").cast("long").alias("group_size"),
-        (~F.col("old") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    return lookup(rows, verdicts, "digest", "n_rows", rows.count())
 
 
 def keep_first_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """``docs`` without the rows that lose; all columns stay. Of rows repeated under one doc_id one stays."""
-    verdict = materialize(deduplicate(docs, index or DigestIndex(docs.sparkSession)).select("doc_id", "kept"), "verdicts")
-    repeated = verdict.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    return without_ids(docs, verdict.where(~F.col("kept")), repeated)
+    """``docs`` with one row for each text that ``index`` doesn't have yet, whatever the doc_ids; all columns stay."""
+    rows, key = keyed(docs)
+    kept = _verdicts(rows, index or DigestIndex(docs.sparkSession), key).where(~F.col("old") & (F.col("row") == F.col("keep_row")))
+    return only_rows(rows, materialize(kept.select(F.col("row").alias(key)), "kept-rows"), key)

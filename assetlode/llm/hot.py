@@ -1,10 +1,12 @@
-"""Looking rows up by a key of which one value may hold a third of all rows."""
+"""Looking rows up by a key of which one value may hold a third of all rows, and keeping rows by a key of their own."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assetlode.plans.staging import materialize
+
 #: A key with more than this share of the rows is hot; there are at most 1/HOT_SHARE of them.
 HOT_SHARE = 1 / 1000
 
@@ -23,15 +25,18 @@ def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int)
     return hot.unionByName(rest).drop("__hot")
 
 
-def without_ids(docs: DataFrame, lost: DataFrame, repeated: bool) -> DataFrame:
-    """``docs`` without the doc_ids of ``lost`` (null is one of them if it is there); one row an id if some are ``repeated``.
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written once with a key for each row, which stays the same whenever it is read, and the key's name."""
+    key = "row_key"
+    while key in [c.lower() for c in docs.columns]:
+        key = f"_{key}"
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "keyed", compression="zstd"), key
+
+
+def only_rows(docs: DataFrame, kept: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` is in ``kept``, without the key.
 
-    What is lost grows with the documents, so rows are shuffled by id at every
+    What is kept grows with the documents, so rows are shuffled by key at every
     size, and no broadcast is planned while there are few.
     """
-    name = "lost_id"
-    while name in [c.lower() for c in docs.columns]:
-        name = f"_{name}"
-    gone = lost.select(F.col("doc_id").alias(name)).distinct()
-    out = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    return docs.join(kept.select(key).hint("shuffle_hash"), key, "left_semi").drop(key)

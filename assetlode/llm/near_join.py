@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetlode.llm.arrow import lists, list_array, longs, map_rows, sorted_groups
-from assetlode.llm.hot import lookup, without_ids
+from assetlode.llm.hot import keyed, lookup, only_rows
 from assetlode.operators.components import connected_components
 from assetlode.plans.staging import materialize
 
@@ -96,8 +96,8 @@ def prefixes(low: np.ndarray, length: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketch(docs: DataFrame, length: int) -> DataFrame:
-    """row, doc_id, digest of the shingle set, its size, bytes of the signature, prefixes."""
+def sketch(docs: DataFrame, length: int, key: str | None = None) -> DataFrame:
+    """row (of the column ``key``, if given), doc_id, digest of the shingle set, its size, bytes of the signature, prefixes."""
     id_type = dict(docs.dtypes)["doc_id"]
 
     def run(part: pa.RecordBatch) -> dict:
@@ -113,7 +113,7 @@ def sketch(docs: DataFrame, length: int) -> DataFrame:
         return {"row": part.column("row"), "doc_id": part.column("doc_id"), "digest": pa.array(digests, pa.binary()), "size": longs(sizes),
                 "sign": pa.array(signs, pa.binary()), "prefixes": list_array(keys, pa.int64())}
 
-    source = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    source = docs.select((F.col(key) if key else F.monotonically_increasing_id()).alias("row"), "doc_id", "text")
     return map_rows(source, run, f"row long, doc_id {id_type}, digest binary, size long, sign binary, prefixes array<long>")
 
 
@@ -192,9 +192,14 @@ def verify(part: pa.RecordBatch, threshold: float) -> tuple[np.ndarray, np.ndarr
 
 def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, n_links (other shingle sets linked), copies (documents of its own set), class_size per row of ``docs``."""
-    id_type = dict(docs.dtypes)["doc_id"]
+    return _classes(docs, threshold).select(
+        "doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"), F.col("copies").cast("long").alias("copies"), F.col("class_size").cast("long").alias("class_size"))
+
+
+def _classes(docs: DataFrame, threshold: float, key: str | None = None) -> DataFrame:
+    """Each row with its class, a number that is the class's own also where its class id is null or stands for other texts too; ``key`` names a row key of ``docs``."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sketches = materialize(sketch(docs, prefix_length(threshold)), "sketches", compression="zstd")
+    sketches = materialize(sketch(docs, prefix_length(threshold), key), "sketches", compression="zstd")
     total = sketches.count()
 
     # One representative for each shingle set
@@ -238,7 +243,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return {c: part.column(c).take(longs(keep)) for c in ("component", "members", "rep")} | {"hashes": list_array([made[k].view(np.int64) for k in keep], pa.int64())}
 
     # Texts are shuffled once at every size: what they meet grows with them.
-    texts = known.hint("shuffle_hash").join(docs.select("doc_id", "text"), F.col("of_id").eqNullSafe(F.col("doc_id"))).select("component", "members", "rep", "digest", "text")
+    own_row = F.col("rep") == F.col(key) if key else F.col("of_id").eqNullSafe(F.col("doc_id"))
+    texts = known.hint("shuffle_hash").join(docs.select(key or "doc_id", "text"), own_row).select("component", "members", "rep", "digest", "text")
     exact = map_rows(texts, measure, "component long, members long, rep long, hashes array<long>").dropDuplicates(["rep"])
 
     def check(batches):
@@ -263,13 +269,11 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     own = materialize(own, "set-classes")
     whole = own.groupBy("class").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("sets"))
     verdict = materialize(lookup(own, whole, "class", "sets", total), "set-verdicts")
-    return lookup(sketches.select("doc_id", "digest"), verdict, "digest", "copies", total).select(
-        "doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"), F.col("copies").cast("long").alias("copies"), F.col("class_size").cast("long").alias("class_size"))
+    return lookup(sketches.select("row", "doc_id", "digest"), verdict, "digest", "copies", total)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each class, that of the class id; all columns stay."""
-    found = materialize(join(docs, threshold), "near-classes")
-    stays = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    repeated = found.where(stays).groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    return without_ids(docs, found.where(~stays), repeated)
+    """``docs`` with one row of each class, the first under the class id; all columns stay."""
+    rows, key = keyed(docs)
+    first = _classes(rows, threshold, key).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class").agg(F.min("row").alias(key))
+    return only_rows(rows, materialize(first.select(key), "kept-rows"), key)

@@ -292,6 +292,20 @@ def test_near_join(spark, docs, empty):
     assert near_join.join(empty).count() == 0
 
 
+def test_deduplication_keeps_one_row_of_each_class_whatever_the_ids(spark):
+    ship(spark)
+    a, b = prose(40, 80), prose(41, 80)
+    rows = [(None, a), (None, b), (5, a), (5, edited(a, 40)), (6, b + " ")] + [(i, prose(50 + k, 60)) for k in range(12) for i in ([None], [7], [None, 7], [7, 7])[k % 4]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row_key": F.lit(1), "row": F.lit(2)}).repartition(3)
+    exact = exact_dedup.keep_first_copies(frame, exact_dedup.DigestIndex(spark, buckets=2))
+    near = near_join.keep_one(frame)
+    unique = Counter(prose(50 + k, 60) for k in range(12))
+    assert Counter(r.text for r in exact.collect()) == unique + Counter([a, edited(a, 40), b + " "])
+    kept = near.collect()
+    assert len(kept) == 14 and Counter(r.text.strip() for r in kept) - Counter([a, edited(a, 40)]) == unique + Counter([b])
+    assert exact.columns == near.columns == frame.columns
+
+
 def test_blocks_see_every_pair_once(spark, monkeypatch):
     ship(spark)
     base = prose(9, 120)
