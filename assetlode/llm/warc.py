@@ -4,8 +4,11 @@ ARC files open with a version block whose first line says which of the two URL
 record lines follows: version 1 has five fields, version 2 ten; both end with
 the declared length of what comes after. The converter parses records by these
 lines and lengths and synthesises what WARC wants besides: record identifiers,
-ISO timestamps, record types, payload and block digests. Payloads seen before
-become revisit records, which keep the HTTP header only.
+ISO timestamps, record types, payload and block digests. HTTP responses become
+response records; all else (``dns:`` and other schemes, content without a status
+line) becomes resource records of the ARC content type, with the whole content as
+payload. Payloads seen before in records of the same kind become revisit records,
+which keep the HTTP header, if there is one, and the payload's length only.
 
 Archives are written by Spark, so they can be in any store it reaches: each
 record is a gzip member of its own, members are parted by one zero byte (the
@@ -44,6 +47,11 @@ ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
+HTTP_TYPE = "application/http; msgtype=response"
+STATUS_LINE = re.compile(rb"HTTP/\d")
+HEAD_END = re.compile(rb"\r?\n\r?\n")
+#: Schemes whose records are not HTTP responses as a rule; a page may have any URL or a bare name.
+OTHER_SCHEME = re.compile(r"(?!https?:|urn:)[a-z][a-z0-9+-]*:", re.I)
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -139,15 +147,35 @@ def arc_records(parts: Iterator[bytes]) -> Iterator[dict]:
 
 
 def split_http(content: bytes) -> tuple[bytes, bytes]:
-    head, _, body = content.partition(b"\r\n\r\n")
-    return head + b"\r\n\r\n", body
+    """Head and body; heads may end with bare line feeds, and one without an end has no body."""
+    end = HEAD_END.search(content)
+    at = end.end() if end else len(content)
+    return content[:at], content[at:]
 
 
 def header_fields(head: bytes) -> dict[str, str]:
-    pairs = (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ":" in x)
+    pairs = (x.partition(":") for x in head.decode("utf-8", "replace").split("\n")[1:] if ":" in x)
     return {k.strip().lower(): v.strip() for k, _, v in pairs}
 
 
+def media_type(value: str) -> str:
+    return value.partition(";")[0].strip().lower()
+
+
+def payload_of(url: str, mime: str, content: bytes) -> tuple[dict[str, str], bytes, str | None]:
+    """HTTP fields, payload and, where the content is no HTTP response, its media type.
+
+    Under other schemes than HTTP's, content with a status line is a response only
+    if it declares the type that the ARC record has.
+    """
+    if STATUS_LINE.match(content):
+        head, body = split_http(content)
+        http = header_fields(head)
+        if not OTHER_SCHEME.match(url) or media_type(http.get("content-type", "")) == media_type(mime):
+            return http, body, None
+    return {}, content, mime if "/" in mime else "application/octet-stream"
+
+
 def number(value: str | None) -> int | None:
     return int(value) if value else None
 
@@ -200,17 +228,17 @@ def iso(date: str) -> str:
 
 
 def parse_arc(archives: DataFrame, payloads: bool) -> DataFrame:
-    """One row per ARC record: archive, place, page_id, url, date, ip, bytes, digest, and the HTTP content if ``payloads``."""
-    names = ["archive", "place", "page_id", "url", "date", "ip", "bytes", "digest"] + ["content"] * payloads
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()] + [pa.binary()] * payloads
+    """One row per ARC record: archive, place, page_id, url, date, ip, mime (null for HTTP), bytes, digest, and the content if ``payloads``."""
+    names = ["archive", "place", "page_id", "url", "date", "ip", "mime", "bytes", "digest"] + ["content"] * payloads
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()] + [pa.binary()] * payloads
 
     def run(batches):
         for batch in batches:
             for path, blob in zip(batch.column("path").to_pylist(), batch.column("content")):
                 rows = []
                 for place, r in enumerate(arc_records(inflate(blob.as_py()))):
-                    head, body = split_http(r["content"])
-                    row = [path.rpartition("/")[2], place, number(header_fields(head).get("x-page-id")), r["url"], r["archive-date"], r["ip-address"], len(body), sha1(body)]
+                    http, body, mime = payload_of(r["url"], r["content-type"], r["content"])
+                    row = [path.rpartition("/")[2], place, number(http.get("x-page-id")), r["url"], r["archive-date"], r["ip-address"], mime, len(body), sha1(body)]
                     rows.append(row + [r["content"]] * payloads)
                     if len(rows) >= 500:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
@@ -218,13 +246,13 @@ def parse_arc(archives: DataFrame, payloads: bool) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return archives.mapInArrow(run, "archive string, place long, page_id long, url string, date string, ip string, bytes long, digest string" + ", content binary" * payloads)
+    return archives.mapInArrow(run, "archive string, place long, page_id long, url string, date string, ip string, mime string, bytes long, digest string" + ", content binary" * payloads)
 
 
 def revisits(records: DataFrame, least: int) -> DataFrame:
     """The records (archive, place) that repeat a payload, with the response they refer to."""
     total = records.count()
-    big = records.where(F.col("bytes") >= least)
+    big = records.where(F.col("bytes") >= least).withColumn("digest", F.concat(F.coalesce("mime", F.lit("")), "digest"))
     key = F.struct("page_id", "archive", "place", "url", "date")
     groups = materialize(big.groupBy("digest").agg(F.max(key).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "payload-groups")
     hits = lookup(big.select("digest", "archive", "place"), groups, "digest", "copies", total)
@@ -234,10 +262,11 @@ def revisits(records: DataFrame, least: int) -> DataFrame:
 
 
 def warc_record(row: dict) -> bytes:
-    head, body = split_http(row["content"])
-    block = head if row["again"] else row["content"]
+    mime, block = row["mime"], row["content"]
+    if row["again"]:
+        block = split_http(block)[0] if mime is None else b""
     fields = {
-        "WARC-Type": "revisit" if row["again"] else "response",
+        "WARC-Type": "revisit" if row["again"] else "response" if mime is None else "resource",
         "WARC-Record-ID": f"<{record_id(row['url'], row['date'], row['page_id'], row['digest'])}>",
         "WARC-Date": iso(row["date"]),
         "WARC-Target-URI": row["url"],
@@ -251,9 +280,10 @@ def warc_record(row: dict) -> bytes:
             "WARC-Refers-To": f"<{record_id(row['to_url'], row['to_date'], row['to_page'], row['digest'])}>",
             "WARC-Refers-To-Target-URI": row["to_url"],
             "WARC-Refers-To-Date": iso(row["to_date"]),
+            "X-Payload-Length": row["bytes"],
             "X-Refers-To-Page": "" if row["to_page"] is None else row["to_page"],
         }
-    fields |= {"Content-Type": "application/http; msgtype=response", "Content-Length": len(block)}
+    fields |= {"Content-Type": HTTP_TYPE if mime is None else mime, "Content-Length": len(block)}
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
@@ -292,10 +322,11 @@ def warc_records(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to and the HTTP block of each record under ``path``.
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to and the block of each record under ``path``.
 
-    Lengths and digests of responses are taken from what is stored; a revisit has
-    them in its own header and in that of its HTTP response.
+    Lengths and digests of responses and resources are taken from what is stored; a
+    revisit has them in its own header. Revisits of other writers may tell the
+    length in their HTTP header only, or not at all (null).
     """
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "block"]
 
@@ -304,11 +335,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             for blob in batch.column("content"):
                 rows = []
                 for fields, block in warc_records(inflate(blob.as_py())):
-                    head, body = split_http(block)
+                    head, body = split_http(block) if media_type(fields.get("content-type", "")) == "application/http" else (b"", block)
                     http, kind = header_fields(head), fields["warc-type"]
-                    stored = kind == "response"
+                    stored = kind != "revisit"
+                    told = fields.get("x-payload-length") or http.get("content-length", "")
                     rows.append((
-                        number(http.get("x-page-id")), fields["warc-target-uri"], len(body) if stored else int(http["content-length"]),
+                        number(http.get("x-page-id")), fields["warc-target-uri"], len(body) if stored else int(told) if told.isdecimal() else None,
                         sha1(body) if stored else fields["warc-payload-digest"].removeprefix("sha1:"), kind, number(fields.get("x-refers-to-page")), block,
                     ))
                     if len(rows) >= 500:

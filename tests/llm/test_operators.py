@@ -378,6 +378,34 @@ def test_archives(spark, least):
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_legacy_records_of_other_kinds(spark, tmp_path):
+    ship(spark)
+    http10 = b"HTTP/1.0 200 OK\r\nContent-Type: text/html\r\n\r\nsame body"
+    records = [
+        ("dns:a.example", "text/dns", b"20000101000000\na.example. 60 IN A 192.0.2.1\n", b"", "resource"),
+        ("dns:b.example", "text/dns", b"20000101000000\nb.example. 60 IN A 192.0.2.2\n", b"", "resource"),
+        ("ftp://c/saved.txt", "text/plain", b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\nsaved", b"", "resource"),
+        ("ftp://d/x", "no-type", b"line\r\n\r\nrest", b"", "resource"),
+        ("http://e/", "text/html", b"HTTP/1.0 200 OK\nContent-Type: text/html\n\nbare\r\n\r\nfeeds", b"bare\r\n\r\nfeeds", "response"),
+        ("http://f/", "text/html", http10, b"same body", "revisit"), ("http://g/", "text/html", http10, b"same body", "response"),
+        ("ftp://h/1", "text/plain", b"same body", b"", "revisit"), ("ftp://h/2", "text/plain", b"same body", b"", "resource"),
+    ]
+    for version in (1, 2):
+        data = warc.arc_version_block(version, "f.arc") + b"".join(warc.arc_line(version, u, m, len(c)) + c + b"\n" for u, m, c, _, _ in records)
+        folder = tmp_path / f"arc{version}"
+        folder.mkdir()
+        (folder / "f.arc").write_bytes(data)
+        path = warc.convert(spark, str(folder), str(tmp_path / f"warc{version}"))
+        out = {r.url: r for r in warc.read_warc(spark, path).collect()}
+        assert len(out) == len(records)
+        for url, mime, content, body, kind in records:
+            r, payload = out[url], body or content
+            assert (r.record_type, r.payload_bytes, r.payload_digest) == (kind, len(payload), warc.sha1(payload)), url
+            assert bytes(r.block) == (content if kind != "revisit" else content[: len(content) - len(payload)])
+        types = {f["warc-target-uri"]: f["content-type"] for (blob,) in warc.read_archives(spark, path).select("content").collect() for f, _ in warc.warc_records(warc.inflate(bytes(blob)))}
+        assert types["dns:a.example"] == "text/dns" and types["ftp://d/x"] == "application/octet-stream" and types["http://e/"].startswith("application/http")
+
+
 def test_arc_versions_and_truncation():
     body = b"HTTP/1.0 200 OK\r\n\r\nhi"
     for version in (1, 2):
