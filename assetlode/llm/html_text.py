@@ -30,8 +30,10 @@ from assetlode.llm.arrow import map_rows
 # How tags behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
-HIDDEN = frozenset("script style noscript template iframe head title svg math object canvas audio video select option button input textarea label form".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+# Controls, and elements whose text no browser shows; all else is for the model to judge.
+HIDDEN = frozenset("script style noscript template iframe head title svg canvas audio video select option button input textarea annotation annotation-xml".split())
+MATH = frozenset("math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+INLINE = MATH | frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 P_CLOSERS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES_OWN = {
     "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}),
@@ -256,9 +258,11 @@ HTML5 = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside",
 def training_pages(count: int = 400, seed: int = 4) -> list[str]:
     """Pages of varied templates whose nodes are labelled with data-content."""
     rng = random.Random(seed)
+    # What forms, labels and objects add is drawn apart.
+    forms = random.Random(seed + 1)
     letters = "etaoinshrdlu"
 
-    def words(low: int, high: int) -> str:
+    def words(low: int, high: int, rng: random.Random = rng) -> str:
         made = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(low, high))]
         return " ".join(made).capitalize() + rng.choice([".", ".", ".", "", "?"])
 
@@ -302,6 +306,12 @@ def training_pages(count: int = 400, seed: int = 4) -> list[str]:
                  node("pre", 1, words(3, 20)), node("table", 1, "".join(f"<tr><td>{words(1, 4)}</td><td>{words(1, 4)}</td></tr>" for _ in range(3))),
                  node("figure", 1, f"<figcaption>{words(2, 10)}</figcaption>"), node("div", 1, words(3, 60)), block(rng.choice(["ad", "share", "aside", "form", "notice"]))],
                 [60, 8, 5, 6, 2, 2, 2, 5, 6])[0])
+        if forms.random() < 0.25:
+            say = words(1, 40, forms)
+            parts.insert(forms.randint(1, len(parts)), forms.choice([
+                f'<label data-content="1">{say}</label>', f'<object data-content="1">{say}</object>', f'<object data-content="1"><p>{say}</p></object>',
+                f'<div data-content="1"><label>{say}</label></div>', f'<object class="ad" data-content="0"><p>{say}</p></object>',
+            ]))
         inner = "".join(parts)
         if rng.random() < 0.3:
             inner = node(rng.choice(["div", "section"]), 1, inner, rng.choice(CONTENT_NAMES.split()))
@@ -321,6 +331,9 @@ def training_pages(count: int = 400, seed: int = 4) -> list[str]:
         body = "".join(before) + article() + "".join(after)
         if rng.random() < 0.3:
             body = node("div", 0, body, rng.choice(["wrapper", "page", "container", "site"]))
+        if forms.random() < 0.2:
+            names = forms.choice(['id="aspnetForm"', 'id="form1"', 'id="mainForm"', 'name="page"', ""])
+            body = f'<form {names} method="post" data-content="0"><input type="hidden">{body}{forms.choice(["</form>", ""])}'
         out.append(f"<html><head><title>{words(1, 5)}</title></head><body>{body}</body></html>")
     return out
 

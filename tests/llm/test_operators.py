@@ -195,6 +195,27 @@ def test_html_template_and_mending(spark):
     assert out[(1, 0)].n_chars == len(text) and out[(2, 1)].text == "" and out[(3, 2)].n_chars == 0 and out[(None, 4)].text == ""
 
 
+ARTICLE = ("<h1>A headline of the day</h1><p>First words of a long story, and they go on. More follows here.</p>"
+           "<p>Second words of that long story, which ends at last.</p>")
+PARTS = ["A headline of the day", "First words of a long story, and they go on. More follows here.", "Second words of that long story, which ends at last."]
+
+
+@pytest.mark.parametrize("page", [
+    '<body><form id="aspnetForm" method="post"><input type=hidden>{}</form></body>', '<body><form id="form1" action="/x"><input>{}</body>',
+    '<body><div class="page"><form method="post">{}</form></div></body>', '<body><form action="/s" class="search"><input>{}</body>',
+])
+def test_text_in_forms_is_judged(page):
+    frame = f'<nav><ul><li><a href="/a">menu</a></li></ul></nav><div class="content">{ARTICLE}</div><form class="login"><label>Your name</label><button>Go</button></form><footer>foot</footer>'
+    assert html_text.blocks(page.format(frame), html_text.default_model()) == PARTS
+    assert html_text.blocks(page.format(frame.replace("div class", "article class").replace("/div", "/article")), html_text.default_model()) == PARTS
+
+
+def test_formulas_and_fallbacks_are_text():
+    formula = "<p>Now <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math> holds, as we see.</p>"
+    page = f'<body><article>{ARTICLE}{formula}<object data="f.swf"><p>What the figure shows, in words. It is long enough.</p></object><label>A label of the text.</label></article></body>'
+    assert html_text.blocks(page, html_text.default_model()) == [*PARTS, "Now x=2 holds, as we see.", "What the figure shows, in words. It is long enough.", "A label of the text."]
+
+
 def test_marginals_equal_enumeration():
     model = html_text.default_model()
     nodes = html_text.nodes_of(html_text.parse("<body><nav><a href=x>menu</a></nav><div class=content><p>Some words here.</p><p>x</p></div><footer>f</footer></body>"))
