@@ -43,6 +43,7 @@ SCOPES = frozenset("ul ol dl table tbody thead tfoot article section div main as
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|aria-label|hidden|style|itemprop)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+LABEL = re.compile(r"""(?:^|\s)data-content="([01])"(?=\s|/|\Z)""")
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
 
@@ -57,8 +58,8 @@ class Node:
         self.depth = parent.depth + 1 if parent else 0
 
 
-def name_words(attributes: str) -> tuple[tuple[str, ...], int]:
-    """The words of class, id, role and the like; the label of a training page's node (1, 0, or -1 for none)."""
+def name_words(attributes: str, labelled: bool) -> tuple[tuple[str, ...], int]:
+    """The words of class, id, role and the like; the label of a ``labelled`` page's node (1, 0, or -1 for none)."""
     words: list[str] = []
     label = -1
     if attributes and not attributes.isspace():
@@ -68,13 +69,13 @@ def name_words(attributes: str) -> tuple[tuple[str, ...], int]:
                 words.append("hidden")
             elif name != "style":
                 words += [w.lower() for w in NAME_PARTS.findall(value)]
-        if "data-content=" in attributes:
-            label = int(attributes.split('data-content="')[1][0])
+        if labelled and (mark := LABEL.search(attributes)):
+            label = int(mark[1])
     return tuple(words), label
 
 
-def parse(page: str) -> Node:
-    """The tree of a page; unclosed and stray tags are mended as browsers do in the common cases."""
+def parse(page: str, labelled: bool = True) -> Node:
+    """The tree of a page; unclosed and stray tags are mended as browsers do in the common cases. Only ``labelled`` pages have labels read."""
     root = Node("#root", None)
     top, at, size = root, 0, len(page)
     while at < size:
@@ -112,7 +113,7 @@ def parse(page: str) -> Node:
                 node = node.parent
             while node.parent and node.tag in CLOSES_OWN[tag]:
                 top = node = node.parent
-        names, label = name_words(found[3])
+        names, label = name_words(found[3], labelled)
         node = Node(tag, top, names, label)
         top.children.append(node)
         top.items.append(node)
@@ -350,7 +351,7 @@ def blocks(page: str | None, model: TreeModel, threshold: float = 0.5) -> list[s
     """The content blocks of a page in its order, white space made single."""
     if not page:
         return []
-    root = parse(page)
+    root = parse(page, labelled=False)
     nodes = nodes_of(root)
     content = {id(n): p >= threshold for n, p in zip(nodes, model.marginals(nodes))}
     out: list[str] = []

@@ -210,6 +210,15 @@ def test_text_in_forms_is_judged(page):
     assert html_text.blocks(page.format(frame.replace("div class", "article class").replace("/div", "/article")), html_text.default_model()) == PARTS
 
 
+@pytest.mark.parametrize("mark", ['data-content="Hello"', 'data-content=""', "data-content='x'", "data-content=5", 'data-content="0"', 'data-content="1"', "data-content="])
+def test_attributes_of_pages_are_no_labels(mark):
+    page = f'<body><nav {mark}><a href="/a">menu</a></nav><article {mark}>{ARTICLE}</article></body>'
+    assert html_text.blocks(page, html_text.default_model()) == PARTS
+    assert all(n.label == -1 for n in html_text.nodes_of(html_text.parse(page, labelled=False)))
+    read = {n.label for n in html_text.nodes_of(html_text.parse(page)) if n.tag in ("nav", "article")}
+    assert read == ({int(mark[-2])} if mark[-2] in '01' else {-1})
+
+
 def test_formulas_and_fallbacks_are_text():
     formula = "<p>Now <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math> holds, as we see.</p>"
     page = f'<body><article>{ARTICLE}{formula}<object data="f.swf"><p>What the figure shows, in words. It is long enough.</p></object><label>A label of the text.</label></article></body>'
