@@ -68,6 +68,7 @@ class ScanResult:
     groups: DataFrame | None = None
     issues: DataFrame | None = None
     inventory: DataFrame | None = None
+    undecoded: DataFrame | None = None
 
 
 def expand(files: DataFrame, p: ScanParams) -> DataFrame:
@@ -101,11 +102,11 @@ def scan(spark: SparkSession, p: ScanParams, encoder=None) -> ScanResult:
     if p.method == "perceptual":
         hashed = scanning.fingerprints(expand(found, p), 5 if p.ignore_solid else None)
         rows = hashed.withColumn("id", F.xxhash64("path", "channel")).join(shape, "path")
-        return ScanResult(groups=dups.perceptual_groups(rows, max_distance(p.similarity), p.same_channel_only))
+        return ScanResult(groups=dups.perceptual_groups(rows, max_distance(p.similarity), p.same_channel_only), undecoded=scanning.undecoded(found))
     from assetlode.functions.encoders import ColorEncoder, encode_files
 
     encoder = encoder or ColorEncoder()
     vectors = encode_files(expand(found, p), encoder, p.batch_size).withColumn("id", F.xxhash64("path", "channel")).withColumnRenamed("vector", "v")
     if p.query:
-        return ScanResult(groups=dups.search(vectors, encoder.text(p.query).tolist()))
-    return ScanResult(groups=dups.semantic_groups(vectors.drop("file_size").join(shape, "path"), p.similarity / 100, p.max_neighbors))
+        return ScanResult(groups=dups.search(vectors, encoder.text(p.query).tolist()), undecoded=scanning.undecoded(found))
+    return ScanResult(groups=dups.semantic_groups(vectors.drop("file_size").join(shape, "path"), p.similarity / 100, p.max_neighbors), undecoded=scanning.undecoded(found))

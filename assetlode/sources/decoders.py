@@ -165,35 +165,26 @@ def dds(data: bytes) -> np.ndarray | None:
         return DXGI_CODES[dxgi](data[148:], w, h) if dxgi in DXGI_CODES else None
     if code in DDS_CODES:
         return DDS_CODES[code](data[128:], w, h)
-    if bits != 32:
+    if bits not in (24, 32):
         return None
-    raw = np.frombuffer(data, dtype="<u4", count=w * h, offset=128).reshape(h, w)
+    texels = np.frombuffer(data, dtype=np.uint8, count=w * h * bits // 8, offset=128).reshape(h, w, bits // 8).astype(np.uint32)
+    raw = sum(texels[:, :, k] << np.uint32(8 * k) for k in range(bits // 8))
     masks = struct.unpack_from("<4I", data, 92)
     part = lambda m, other: (raw & m) >> ((m & -m).bit_length() - 1) if m else np.full_like(raw, other)
     return np.stack([part(masks[0], 0), part(masks[1], 0), part(masks[2], 0), part(masks[3], 255)], axis=2).astype(np.uint8)
 
 
-def png(data: bytes) -> np.ndarray | None:
-    """8-bit gray, gray+alpha, RGB and RGBA without interlace."""
-    w, h, depth, kind, _, _, lace = struct.unpack_from(">IIBBBBB", data, 16)
-    n = {0: 1, 2: 3, 4: 2, 6: 4}.get(kind)
-    if depth != 8 or n is None or lace:
-        return None
-    at, packed = 8, b""
-    while at + 8 <= len(data):
-        size, name = struct.unpack_from(">I4s", data, at)
-        if name == b"IDAT":
-            packed += data[at + 8 : at + 8 + size]
-        at += 12 + size
-    raw = np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(h, 1 + w * n)
-    out = np.zeros((h, w * n), dtype=np.uint8)
-    above = np.zeros(w * n, dtype=np.int32)
+def _unfilter(raw: np.ndarray, n: int) -> np.ndarray:
+    """Lines of a PNG pass, each led by its filter; ``n`` bytes a pixel."""
+    h, width = raw.shape[0], raw.shape[1] - 1
+    out = np.zeros((h, width), dtype=np.uint8)
+    above = np.zeros(width, dtype=np.int32)
     for y in range(h):
         how, line = raw[y, 0], raw[y, 1:].astype(np.int32)
         if how == 2:
             line = (line + above) & 255
         elif how:
-            for x in range(w * n):
+            for x in range(width):
                 a = line[x - n] if x >= n else 0
                 c = above[x - n] if x >= n else 0
                 if how == 1:
@@ -205,12 +196,130 @@ def png(data: bytes) -> np.ndarray | None:
                     guess = min((abs(p - a), 0, a), (abs(p - above[x]), 1, above[x]), (abs(p - c), 2, c))[2]
                 line[x] = (line[x] + guess) & 255
         out[y] = above = line
-    v = out.reshape(h, w, n)
+    return out
+
+
+def _samples(lines: np.ndarray, w: int, depth: int, n: int) -> np.ndarray:
+    """(height, w, n) samples of ``depth`` bits from lines of bytes."""
+    if depth == 16:
+        return lines.copy().view(">u2").reshape(len(lines), w, n).astype(np.int32)
+    if depth < 8:
+        bits = np.unpackbits(lines, axis=1).reshape(len(lines), -1, depth)[:, : w * n]
+        lines = bits @ (1 << np.arange(depth - 1, -1, -1))
+    return lines.reshape(len(lines), w, n).astype(np.int32)
+
+
+#: First column and line, and steps, of the passes of an interlaced PNG.
+ADAM7 = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def png(data: bytes) -> np.ndarray | None:
+    """Every colour type and depth, interlaced or not; 16-bit samples are rounded to 8."""
+    w, h, depth, kind, _, _, lace = struct.unpack_from(">IIBBBBB", data, 16)
+    n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(kind)
+    if n is None or depth not in (1, 2, 4, 8, 16) or not (0 < w <= MOST_PIXELS and 0 < h <= MOST_PIXELS):
+        return None
+    at, chunks = 8, {b"IDAT": b"", b"PLTE": b"", b"tRNS": b""}
+    while at + 8 <= len(data):
+        size, name = struct.unpack_from(">I4s", data, at)
+        if name in chunks:
+            chunks[name] += data[at + 8 : at + 8 + size]
+        at += 12 + size
+    raw = np.frombuffer(zlib.decompress(chunks[b"IDAT"]), dtype=np.uint8)
+    passes = [(x, y, dx, dy, -(-(w - x) // dx), -(-(h - y) // dy)) for x, y, dx, dy in (ADAM7 if lace else ((0, 0, 1, 1),)) if w > x and h > y]
+    sizes = [ph * (1 + -(-pw * n * depth // 8)) for *_, pw, ph in passes]
+    if sum(sizes) > len(raw):
+        raise ValueError("too few pixels")
+    v, at = np.zeros((h, w, n), dtype=np.int32), 0
+    for (x, y, dx, dy, pw, ph), size in zip(passes, sizes):
+        v[y::dy, x::dx] = _samples(_unfilter(raw[at : at + size].reshape(ph, -1), max(1, n * depth // 8)), pw, depth, n)
+        at += size
+    clear = chunks[b"tRNS"]
+    if kind == 3:
+        palette = np.full((len(chunks[b"PLTE"]) // 3, 4), 255, dtype=np.uint8)
+        palette[:, :3] = np.frombuffer(chunks[b"PLTE"], dtype=np.uint8).reshape(-1, 3)
+        palette[: len(clear), 3] = np.frombuffer(clear[: len(palette)], dtype=np.uint8)
+        return palette[v[:, :, 0]]
+    hole = (v == np.frombuffer(clear, dtype=">u2")).all(axis=2) if clear and n in (1, 3) else None
+    v = ((v + 128) // 257 if depth == 16 else v * (255 // ((1 << depth) - 1))).astype(np.uint8)
     rgb = v[:, :, :1].repeat(3, axis=2) if n < 3 else v[:, :, :3]
-    alpha = v[:, :, -1:] if n in (2, 4) else np.full((h, w, 1), 255, dtype=np.uint8)
+    alpha = v[:, :, -1:].copy() if n in (2, 4) else np.full((h, w, 1), 255, dtype=np.uint8)
+    if hole is not None:
+        alpha[hole] = 0
     return np.concatenate([rgb, alpha], axis=2)
 
 
+def _pixels(raw: np.ndarray, bits: int) -> np.ndarray:
+    """(pixels, bytes a pixel) of TGA's or BMP's little-endian colours as RGBA."""
+    out = np.full((len(raw), 4), 255, dtype=np.uint8)
+    if bits in (15, 16):
+        v = raw.copy().view("<u2")[:, 0].astype(np.int32)
+        for c, shift in enumerate((10, 5, 0)):
+            part = v >> shift & 31
+            out[:, c] = part << 3 | part >> 2
+    elif bits == 8:
+        out[:, :3] = raw
+    else:
+        out[:, :3] = raw[:, 2::-1]
+        if bits == 32:
+            out[:, 3] = raw[:, 3]
+    return out
+
+
+def tga(data: bytes) -> np.ndarray | None:
+    """Palettes, colours and gray, plain or run-length encoded, from any corner."""
+    skip, mapped, kind, first, count, map_bits, _, _, w, h, bits, flags = struct.unpack_from("<BBBHHBHHHHBB", data)
+    if kind not in (1, 2, 3, 9, 10, 11) or bits not in ((8, 16) if kind & 3 == 1 else (15, 16, 24, 32) if kind & 3 == 2 else (8,)) or not (w and h):
+        return None
+    n, at, want = -(-bits // 8), 18 + skip, w * h
+    if mapped:
+        size = -(-map_bits // 8)
+        table = np.frombuffer(data, dtype=np.uint8, count=count * size, offset=at).reshape(count, size)
+        at += count * size
+    if kind < 8:
+        raw = data[at : at + want * n]
+    else:
+        raw = bytearray()
+        while len(raw) < want * n:
+            run = (data[at] & 127) + 1
+            step = n if data[at] & 128 else run * n
+            raw += data[at + 1 : at + 1 + step] * (run if data[at] & 128 else 1)
+            at += 1 + step
+    texels = np.frombuffer(bytes(raw[: want * n]), dtype=np.uint8).reshape(want, n)
+    if kind & 3 == 1:
+        if not mapped or map_bits not in (15, 16, 24, 32):
+            return None
+        index = (texels[:, 0] if n == 1 else texels.copy().view("<u2")[:, 0]).astype(np.int64) - first
+        if index.min() < 0:
+            raise ValueError("an index below the palette")
+        image = _pixels(table, map_bits)[index].reshape(h, w, 4)
+    else:
+        image = _pixels(texels, bits).reshape(h, w, 4)
+    image = image if flags & 0x20 else image[::-1]
+    return image[:, ::-1] if flags & 0x10 else image
+
+
+def bmp(data: bytes) -> np.ndarray | None:
+    """Uncompressed pictures of 1, 4, 8, 16, 24 and 32 bits; other masks and run lengths give None."""
+    start, head = struct.unpack_from("<II", data, 10)
+    if head < 40:
+        return None
+    w, h, _, bits, packed, _, _, _, used = struct.unpack_from("<iiHHIIiiI", data, 18)
+    flip, h = h > 0, abs(h)
+    if packed or bits not in (1, 4, 8, 16, 24, 32) or not (0 < w <= MOST_PIXELS and 0 < h <= MOST_PIXELS):
+        return None
+    stride = -(-w * bits // 32) * 4
+    lines = np.frombuffer(data, dtype=np.uint8, count=h * stride, offset=start).reshape(h, stride)
+    if bits <= 8:
+        table = np.frombuffer(data, dtype=np.uint8, count=4 * (used or 1 << bits), offset=14 + head).reshape(-1, 4)
+        image = _pixels(table[:, :3], 24)[_samples(lines, w if bits == 8 else stride * 8 // bits, bits, 1)[:, :w, 0]] if bits < 8 else _pixels(table[:, :3], 24)[lines[:, :w]]
+    else:
+        n = bits // 8
+        image = _pixels(np.ascontiguousarray(lines[:, : w * n]).reshape(w * h, n), bits).reshape(h, w, 4)
+        image[:, :, 3] = 255
+    return image[::-1] if flip else image
+
+
 def decode(path: str, data: bytes) -> np.ndarray | None:
     """A raster, or None where there is no decoder for the bytes."""
     try:
@@ -220,6 +329,10 @@ def decode(path: str, data: bytes) -> np.ndarray | None:
             return dds(data)
         if data[:8] == b"\x89PNG\r\n\x1a\n":
             return png(data)
+        if data[:2] == b"BM" and extension_of(path) == "bmp":
+            return bmp(data)
+        if extension_of(path) == "tga":
+            return tga(data)
         if extension_of(path) in ("gz", "svgz"):
             return None
     except (ValueError, IndexError, KeyError, struct.error, zlib.error):

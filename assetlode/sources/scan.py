@@ -106,6 +106,17 @@ def fingerprints(found: DataFrame, least_range: int | None = None) -> DataFrame:
     return found.select("path", "channel", "content").mapInPandas(run, "path string, channel string, h bigint")
 
 
+def undecoded(found: DataFrame) -> DataFrame:
+    """path and reason of the files with ``content`` that give no raster, so no fingerprint or vector either."""
+
+    @F.pandas_udf("string")
+    def reason(paths: pd.Series, contents: pd.Series) -> pd.Series:
+        return pd.Series([None if decode(p, bytes(c)) is not None else "no decoder for the pixels, or a damaged file" for p, c in zip(paths, contents)], dtype=object)
+
+    ship(found.sparkSession)
+    return found.select("path", reason("path", "content").alias("reason")).where("reason is not null")
+
+
 def rasters(found: DataFrame) -> DataFrame:
     """Exploded pixels (img, y, x, r, g, b, a) of the files that can be decoded; img is the path."""
 
