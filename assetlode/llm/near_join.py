@@ -3,7 +3,8 @@
 1. Every text becomes a set of shingles, a MinHash signature and, for each tree
    of the forest, the prefix of its label. ``prefix_length`` starts at the full
    labels and shortens the prefix until the trees together reach the target
-   recall at the threshold.
+   recall at the threshold. It is one length for all documents, so the forest is
+   used as fixed bands; thresholds too low for any length are refused.
 2. Documents of one shingle set are a class with one representative. Those that
    share a prefix meet in sorted order, in blocks of bounded size, and signatures
    leave the pairs that may be similar; each block gives only a star of edges for
@@ -57,6 +58,8 @@ def prefix_length(threshold: float, trees: int = TREES, label: int = LABEL, reca
     length = label
     while length > 1 and 1 - (1 - threshold**length) ** trees < recall:
         length -= 1
+    if 1 - (1 - threshold**length) ** trees < recall:
+        raise ValueError(f"{trees} trees miss a recall of {recall} at a threshold of {threshold}")
     return length
 
 

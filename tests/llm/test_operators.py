@@ -355,6 +355,12 @@ def test_prefixes_shorten_until_the_recall_is_met():
         assert k == 1 or 1 - (1 - t**k) ** near_join.TREES >= near_join.RECALL
 
 
+def test_thresholds_below_the_recall_are_refused():
+    assert near_join.prefix_length(0.5) >= 1
+    with pytest.raises(ValueError):
+        near_join.prefix_length(0.3)
+
+
 # 7
 
 
