@@ -18,6 +18,7 @@ import functools
 import os
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -34,17 +35,39 @@ from assetlode.plans.staging import materialize
 SEQUENCE = 2048
 END_ID = 1
 DIMS, BITS, SEED = 4, 10, 20
-MEMO_WORDS = 1_000_000
+#: Words, and pieces of words, in one generation of a memo.
+MEMO_WORDS = 500_000
 #: White space on which libraries differ, or which is rare; texts with it take the tokenizer's own path.
 UNUSUAL_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 #: Words whose normal form is lower case only, in every version of Unicode.
 PLAIN = re.compile(r"[\x21-\x7e\xa1-\u012f\u0131-\u024f]+")
+#: Marks that end words and are one piece together.
+MARKS = ".,;:!?\"()*#"
 # Fixed value: how the tokenizer splits a word.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
+class Memo(dict):
+    """What ``make`` gives for each key, in two generations: when the young one is full, keys of the old one that nobody asked for go."""
+
+    def __init__(self, make: Callable[[str], bytes], old: dict | None = None):
+        super().__init__()
+        self.make, self.old = make, old or {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        self[key] = value = self.make(key) if value is None else value
+        return value
+
+    def trimmed(self, most: int) -> Memo:
+        if len(self) <= most:
+            return self
+        self.old = {}
+        return Memo(self.make, self)
+
+
 class WordEncoder:
-    """A tokenizer that drops white space, with the ids of words kept: words are encoded once a worker."""
+    """A tokenizer that drops white space, with the ids of words and of their pieces kept: most are encoded once a worker."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,40 +76,39 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.letters = byte_letters()
+        self.tokenize = self.tokenizer.model.tokenize
+        self.letters = dict(enumerate(byte_letters()))
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.memo: dict[str, bytes] = {}
+        self.code = "H" if self.dtype == "<u2" else "I"
+        self.words, self.pieces = Memo(self._word), Memo(self._piece)
 
-    def pack(self, ids: list[int]) -> bytes:
-        return array("H" if self.dtype == "<u2" else "I", ids).tobytes()
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _batch(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a piece in normal form, straight from the merges."""
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.tokenize(letters)]).tobytes()
 
-    def _word(self, word: str) -> list[int] | None:
-        """The ids of a plain word, straight from the merges; None if the word needs the tokenizer's own preparation."""
-        if not PLAIN.fullmatch(word) or any(a in word for a in self.added):
-            return None
+    def _word(self, word: str) -> bytes:
+        """The ids of a word: by pieces if it is plain, else by the tokenizer's own preparation."""
+        if not (word.isprintable() if word.isascii() else PLAIN.fullmatch(word)) or any(a in word for a in self.added):
+            return array(self.code, self._whole(word)).tobytes()
         word = word.lower()
-        tokenize, out = self.tokenizer.model.tokenize, []
-        for piece in (word,) if word.isalpha() else SPLIT.findall(word):
-            out += [t.id for t in tokenize(piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()]))]
-        return out
+        if word.isalpha():
+            return self.pieces[word]
+        stem = word.rstrip(MARKS)
+        if stem.isalpha():
+            return self.pieces[stem] + self.pieces[word[len(stem) :]]
+        return b"".join([self.pieces[p] for p in SPLIT.findall(word)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        words = [None if UNUSUAL_SPACE.search(t) else t.split() for t in texts]
-        new = set().union(*[ws for ws in words if ws]).difference(memo)
-        made = {w: self._word(w) for w in new}
-        odd = [w for w, ids in made.items() if ids is None]
-        made.update(zip(odd, self._batch(odd)))
-        memo.update((w, self.pack(ids)) for w, ids in made.items())
+        self.words, self.pieces = self.words.trimmed(MEMO_WORDS), self.pieces.trimmed(MEMO_WORDS)
+        known = self.words.__getitem__
         return [
-            np.frombuffer(b"".join(map(memo.__getitem__, ws)), dtype=self.dtype) if ws is not None else np.array(self._batch([t])[0], dtype=self.dtype)
-            for t, ws in zip(texts, words)
+            np.array(self._whole(t), dtype=self.dtype) if UNUSUAL_SPACE.search(t) else np.frombuffer(b"".join(map(known, t.split())), dtype=self.dtype)
+            for t in texts
         ]
 
 
@@ -134,7 +156,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(part: pa.RecordBatch) -> dict:
         encoder, axes = word_encoder(tokenizer_path), projection()
         ids = [np.append(a, np.array([END_ID], dtype=a.dtype)) for a in encoder.encode(part.column("text").to_pylist())]
-        vectors = np.array([[axis.take(a).mean(dtype=np.float64) for axis in axes] for a in (a.astype(np.intp) & 0xFFFF for a in ids)])
+        vectors = np.array([[axis.take(a).sum() / len(a) for axis in axes] for a in (a.astype(np.intp) & 0xFFFF for a in ids)], dtype=np.float64)
         out = {"row": part.column("row"), "doc_id": part.column("doc_id"), "n": longs([len(a) for a in ids]), "ids": pa.array([a.tobytes() for a in ids], pa.binary())}
         return out | {f"c{i}": pa.array(vectors[:, i]) for i in range(DIMS)}
 
