@@ -305,10 +305,10 @@ def escape_html(s, d):
     return X.table(s, d, "pages").select("page_id", F.md5(S.escape_html(F.col("html"))).alias("escaped"))
 
 
-@query("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 4)) AS v FROM embeddings")
+@query("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 4) + 0.0::DOUBLE) AS v FROM embeddings")
 def l2_normalize(s, d):
     v = X.table(s, d, "embeddings")
-    return v.select("vec_id", F.transform(S.l2_normalize(F.col("embedding")), lambda x: F.round(x, 4)).alias("v"))
+    return v.select("vec_id", F.transform(S.l2_normalize(F.col("embedding")), lambda x: F.round(x, 4) + 0.0).alias("v"))  # no negative zeros
 
 
 # Exact duplicates
@@ -732,5 +732,84 @@ q AS (SELECT *, 1.0 - 0.24::DOUBLE * 0.24 / (peak + 0.24 - 0.76) AS np FROM s),
 m AS (SELECT *, 1.0 - 1.0 / ((peak - np) * 0.15 + 1.0) AS mix FROM q),
 c AS (SELECT img, y, x, a, {', '.join(f"{_clamp(f'CASE WHEN peak < 0.76 THEN {c} ELSE {c} * (np / peak) * (1.0 - mix) + np * mix END')} AS {c}" for c in 'rgb')} FROM m)
 SELECT img, y, x, {', '.join(_eight(_oetf(c), c) for c in 'rgb')}, {_ALPHA} FROM c""", lambda p: tonemap.tonemap(_hdr(p), "pbr_neutral"))
-for _name in ("aces2", "bt2446c", "lumina"):
-    query(None, name=f"tone_{_name}")(lambda s, d, n=_name: tonemap.tonemap(_hdr(X.px(s, d)), n))
+
+
+# The operators over ICtCp, as chains of relations that each add some values
+
+
+def _chain(first: str, *steps: dict[str, str]) -> str:
+    return ", ".join(f"s{k} AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in step.items())} FROM {f's{k - 1}' if k else first})" for k, step in enumerate(steps))
+
+
+def _times(matrix: tuple, c: list[str]) -> list[str]:
+    return [f"({c[0]} * {row[0]!r}::DOUBLE + {c[1]} * {row[1]!r}::DOUBLE + {c[2]} * {row[2]!r}::DOUBLE)" for row in matrix]
+
+
+def _three(name: str, values: list[str]) -> dict[str, str]:
+    return {f"{name}{k}": v for k, v in enumerate(values)}
+
+
+def _pq_power(v: str) -> str:
+    return f"pow(abs(({v}) / 10000.0::DOUBLE), {tonemap.PQ_N!r}::DOUBLE)"
+
+
+def _pq_value(y: str) -> str:
+    return f"pow(abs(({y} * {tonemap.PQ_C2!r}::DOUBLE + {tonemap.PQ_C1!r}::DOUBLE) / ({y} * {tonemap.PQ_C3!r}::DOUBLE + 1.0)), {tonemap.PQ_M!r}::DOUBLE)"
+
+
+def _pq_root(v: str) -> str:
+    return f"pow(abs({v}), {1 / tonemap.PQ_M!r}::DOUBLE)"
+
+
+def _pq_nits(y: str) -> str:
+    return f"(pow(abs(greatest({y} - {tonemap.PQ_C1!r}::DOUBLE, 0.0::DOUBLE) / ({tonemap.PQ_C2!r}::DOUBLE - {y} * {tonemap.PQ_C3!r}::DOUBLE)), {1 / tonemap.PQ_N!r}::DOUBLE) * 10000.0::DOUBLE)"
+
+
+_LMS, _CODE, _ITP, _BACK = ["l0", "l1", "l2"], ["q0", "q1", "q2"], ["i", "t", "p"], ["n0", "n1", "n2"]
+_INTO_ICTCP = [
+    _three("e", _times(tonemap.TO_2020, ["c0", "c1", "c2"])), _three("l", _times(tonemap.TO_LMS, ["e0", "e1", "e2"])),
+    _three("w", [_pq_power(f"greatest({v}, 0.0::DOUBLE)") for v in _LMS]), _three("q", [_pq_value(f"w{k}") for k in range(3)]), dict(zip(_ITP, _times(tonemap.TO_ICTCP, _CODE))),
+]
+_OUT_OF_ICTCP = [
+    {"o0": "lum", "o1": "t * chroma", "o2": "p * chroma"}, _three("b", _times(tonemap.FROM_ICTCP, ["o0", "o1", "o2"])), _three("z", [_pq_root(f"b{k}") for k in range(3)]),
+    _three("n", [_pq_nits(f"z{k}") for k in range(3)]), _three("h", _times(tonemap.FROM_LMS, _BACK)),
+    {f"f{c}": _clamp(f"{v} / 100.0::DOUBLE") for c, v in zip("rgb", _times(tonemap.TO_709, ["h0", "h1", "h2"]))},
+]
+
+
+def _roll_off(top: float, white: float) -> str:
+    """The BT.2390 curve of i, whose knee and width are numbers."""
+    knee = 1.5 * white - 0.5 * top
+    width = top - knee
+    t = f"((i - {knee!r}::DOUBLE) / {width!r}::DOUBLE)"
+    cube, square = f"{t} * {t} * {t}", f"{t} * {t}"
+    bent = f"({cube} * 2.0 - {square} * 3.0 + 1.0) * {knee!r}::DOUBLE + ({cube} - {square} * 2.0 + {t}) * {width!r}::DOUBLE + ({square} * 3.0 - {cube} * 2.0) * {white!r}::DOUBLE"
+    return f"CASE WHEN i < {knee!r}::DOUBLE THEN i ELSE {bent} END"
+
+
+def _pq_of(nits: float) -> float:
+    y = (nits / 10000.0) ** tonemap.PQ_N
+    return ((tonemap.PQ_C1 + tonemap.PQ_C2 * y) / (1 + tonemap.PQ_C3 * y)) ** tonemap.PQ_M
+
+
+_TOP, _WHITE = _pq_of(1000.0), _pq_of(100.0)
+_RATIO = "CASE WHEN i > 1e-5 THEN lum / i ELSE 1.0::DOUBLE END"
+_TONES = {
+    "aces2": [
+        {f"c{k}": f"{c} * 100.0::DOUBLE" for k, c in enumerate("rgb")}, *_INTO_ICTCP, {"iy": _pq_root("i")}, {"linear": f"{_pq_nits('iy')} / 100.0::DOUBLE"},
+        {"f": "pow(greatest(linear, 0.0::DOUBLE) / (linear + 0.9078), 1.15::DOUBLE) * 1.0470"}, {"m": "greatest(f * f / (f + 0.04), 0.0::DOUBLE)"},
+        {"chroma": _clamp("1.1 - m * sqrt(m) * 1.1"), "mw": _pq_power("m * 100.0::DOUBLE")}, {"lum": _pq_value("mw")}, *_OUT_OF_ICTCP,
+    ],
+    "bt2446c": [
+        {f"c{k}": f"greatest({c} * 100.0::DOUBLE, 0.0::DOUBLE)" for k, c in enumerate("rgb")}, *_INTO_ICTCP, {"lum": _roll_off(_TOP, _WHITE)},
+        {"v": _clamp(f"lum / {_WHITE!r}::DOUBLE")}, {"chroma": f"({_RATIO}) * 1.15 * (1.0 - {_smooth(0.9, 1.0)})"}, *_OUT_OF_ICTCP,
+    ],
+    "lumina": [
+        {f"p{k}": f"greatest({c}, 0.0::DOUBLE)" for k, c in enumerate("rgb")}, {"least_of": "least(p0, p1, p2)"}, {"low": "CASE WHEN least_of < 0.08 THEN least_of - least_of * least_of * 6.25 ELSE 0.04 END"},
+        {f"c{k}": f"greatest(p{k} - low, 0.0::DOUBLE) * 100.0::DOUBLE" for k in range(3)}, *_INTO_ICTCP, {"level": _clamp(f"({_roll_off(_TOP, _WHITE)}) / {_WHITE!r}::DOUBLE")},
+        {"lum": f"(level + (level - 0.5) * level * (1.0 - level) * 0.5) * {_WHITE!r}::DOUBLE"}, {"chroma": f"({_RATIO}) * (1.0 / (greatest(i - lum, 0.0::DOUBLE) * 0.15 + 1.0))"}, *_OUT_OF_ICTCP,
+    ],
+}
+for _name, _steps in _TONES.items():
+    on_px(f"tone_{_name}", f"WITH {_HDR}, {_chain('hdr', *_steps)} SELECT img, y, x, {', '.join(_eight(_oetf(f'f{c}'), c) for c in 'rgb')}, {_ALPHA} FROM s{len(_steps) - 1}",
+          lambda p, n=_name: tonemap.tonemap(_hdr(p), n))
