@@ -23,6 +23,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ END_ID = 1
 DIMS, BITS, SEED = 4, 10, 20
 #: Words, and pieces of words, in one generation of a memo.
 MEMO_WORDS = 500_000
+#: Texts that are split together; longer ones than a run are runs of their own.
+RUN_ROWS, RUN_BYTES = 2_000, 1 << 24
 #: White space on which libraries differ, or which is rare; texts with it take the tokenizer's own path.
 UNUSUAL_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 #: Words whose normal form is lower case only, in every version of Unicode.
@@ -103,13 +106,32 @@ class WordEncoder:
             return self.pieces[stem] + self.pieces[word[len(stem) :]]
         return b"".join([self.pieces[p] for p in SPLIT.findall(word)])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; a run of texts is split at once, and each of its distinct words is looked up once."""
+        out: list[np.ndarray] = []
+        heavy = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // RUN_BYTES
+        starts = [0, *(np.flatnonzero(heavy[1:] != heavy[:-1]) + 1).tolist(), len(texts)] if len(texts) else [0]
+        for a, z in zip(starts[:-1], starts[1:]):
+            out += self._run(texts.slice(a, z - a))
+        return out
+
+    def _run(self, texts: pa.Array) -> list[np.ndarray]:
         self.words, self.pieces = self.words.trimmed(MEMO_WORDS), self.pieces.trimmed(MEMO_WORDS)
-        known = self.words.__getitem__
-        return [
-            np.array(self._whole(t), dtype=self.dtype) if UNUSUAL_SPACE.search(t) else np.frombuffer(b"".join(map(known, t.split())), dtype=self.dtype)
-            for t in texts
-        ]
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        known = list(map(self.words.__getitem__, words.dictionary.to_pylist()))
+        flat = np.frombuffer(b"".join(known), dtype=self.dtype)
+        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // flat.itemsize
+        first = np.cumsum(sizes) - sizes
+        which = words.indices.to_numpy()
+        ends = np.cumsum(sizes[which])
+        at = np.repeat(first[which] - ends + sizes[which], sizes[which]) + np.arange(ends[-1] if len(ends) else 0)
+        cuts = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        ids = flat[at]
+        out = [ids[a:z] for a, z in zip(cuts[:-1], cuts[1:])]
+        for k in np.flatnonzero(pc.match_substring_regex(texts, UNUSUAL_SPACE.pattern).to_numpy(zero_copy_only=False)).tolist():
+            out[k] = np.array(self._whole(texts[k].as_py()), dtype=self.dtype)
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -155,13 +177,13 @@ def tokenise(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(part: pa.RecordBatch) -> dict:
         encoder, axes = word_encoder(tokenizer_path), projection()
-        ids = [np.append(a, np.array([END_ID], dtype=a.dtype)) for a in encoder.encode(part.column("text").to_pylist())]
+        ids = [np.append(a, np.array([END_ID], dtype=a.dtype)) for a in encoder.encode(part.column("text"))]
         vectors = np.array([[axis.take(a).sum() / len(a) for axis in axes] for a in (a.astype(np.intp) & 0xFFFF for a in ids)], dtype=np.float64)
         out = {"row": part.column("row"), "doc_id": part.column("doc_id"), "n": longs([len(a) for a in ids]), "ids": pa.array([a.tobytes() for a in ids], pa.binary())}
         return out | {f"c{i}": pa.array(vectors[:, i]) for i in range(DIMS)}
 
     source = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return map_rows(source, run, f"row long, doc_id {id_type}, n long, ids binary, " + ", ".join(f"c{i} double" for i in range(DIMS)))
+    return map_rows(source, run, f"row long, doc_id {id_type}, n long, ids binary, " + ", ".join(f"c{i} double" for i in range(DIMS)), rows=RUN_ROWS)
 
 
 def curve_order(tokens: DataFrame) -> DataFrame:
