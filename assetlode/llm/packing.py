@@ -18,7 +18,6 @@ import functools
 import os
 import re
 from array import array
-from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -30,6 +29,7 @@ from pyspark.sql import functions as F
 
 from assetlode.llm.arrow import longs, map_rows
 from assetlode.llm.bpe import byte_letters
+from assetlode.llm.memo import Memo
 from assetlode.llm.ranking import running_total
 from assetlode.plans.staging import materialize
 
@@ -50,25 +50,6 @@ MARKS = ".,;:!?\"()*#"
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
-class Memo(dict):
-    """What ``make`` gives for each key, in two generations: when the young one is full, keys of the old one that nobody asked for go."""
-
-    def __init__(self, make: Callable[[str], bytes], old: dict | None = None):
-        super().__init__()
-        self.make, self.old = make, old or {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        self[key] = value = self.make(key) if value is None else value
-        return value
-
-    def trimmed(self, most: int) -> Memo:
-        if len(self) <= most:
-            return self
-        self.old = {}
-        return Memo(self.make, self)
-
-
 class WordEncoder:
     """A tokenizer that drops white space, with the ids of words and of their pieces kept: most are encoded once a worker."""
 

@@ -280,7 +280,7 @@ def test_tree_concatenation_at_every_cut(path, monkeypatch):
         want = own.tokenizer.encode(text, add_special_tokens=False).ids
         for most in (3, 7, 20):
             pieces = own.concatenate([own.leaf(t) for t in own.halves(text, most)])
-            assert [i for _, ids in pieces for i in ids] == want and "".join(p for p, _ in pieces) == text
+            assert pieces.ids.tolist() == want and "".join(p for p, _ in pieces) == text and b"".join(i for _, i in pieces) == pieces.ids.tobytes()
             assert own.decode(want) == text
 
 
