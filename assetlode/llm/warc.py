@@ -11,12 +11,13 @@ payload. Payloads seen before in records of the same kind become revisit records
 which keep the HTTP header, if there is one, and the payload's length only.
 
 Archives are written by Spark, so they can be in any store it reaches: each
-record is a gzip member of its own, members are parted by one zero byte (the
-padding that the gzip format allows), and each partition is one file.
+record is a gzip member of its own, members lie back to back, and each partition is
+one file, which any gzip tool reads to its end.
 
 Defined results: a null html is an empty payload; a null url becomes
 ``urn:page:<page_id>``; a null page_id ranks below every other; of equal payloads
-under one page_id the last in the archives is the response; an empty table gives
+under one page_id the last in the archives is the response; only the first record
+of a file can be its version block, whatever URLs begin with; an empty table gives
 no rows; other columns are ignored.
 """
 
@@ -59,11 +60,21 @@ def sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def member(data: bytes) -> bytes:
+def squeezed(data: bytes) -> bytes:
     squeeze = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return squeeze.compress(data) + squeeze.flush()
 
 
+def member(data: bytes) -> bytes:
+    """``data`` as a gzip member whose last byte is zero.
+
+    That byte is the highest of the data's length, so it differs from zero only
+    from 16 MiB on; an empty member is put behind then.
+    """
+    out = squeezed(data)
+    return out if out[-1] == 0 else out + squeezed(b"")
+
+
 def inflate(blob: bytes) -> Iterator[bytes]:
     """What the gzip members of ``blob`` hold, in parts; a blob that is no gzip file is passed on."""
     if blob[:2] != b"\x1f\x8b":
@@ -131,12 +142,13 @@ def arc_version_block(version: int, name: str) -> bytes:
 
 def arc_records(parts: Iterator[bytes]) -> Iterator[dict]:
     """The records of an ARC file by its own version line."""
-    reader, version = Reader(parts), 1
+    reader, version, first = Reader(parts), 1, True
     while (line := reader.line()) is not None:
         if not line.strip():
             continue
         fields = line.decode("utf-8", "replace").split(" ")
-        if fields[0].startswith("filedesc://"):
+        opening, first = first and fields[0].startswith("filedesc://"), False
+        if opening:
             block = reader.take(int(fields[-1]))
             version = int(block.split(b" ", 1)[0])
             if version not in ARC_FIELDS:
@@ -181,8 +193,13 @@ def number(value: str | None) -> int | None:
 
 
 def write_members(members: DataFrame, path: str) -> str:
-    """One binary column as archive files: a file for each partition, a zero byte after each member."""
-    members.select(F.col(members.columns[0]).cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+    """One binary column of ``member``s as archive files, back to back, a file for each partition.
+
+    Spark's text files end each row with a separator. The last byte of a member
+    is always zero, so it is left to that separator.
+    """
+    blob = F.col(members.columns[0])
+    members.select(F.substring(blob, F.lit(1), F.octet_length(blob) - 1).cast("string").alias("value")).write.option("lineSep", "\0").text(path)
     return path
 
 
@@ -193,7 +210,7 @@ def write_arc(pages: DataFrame, path: str) -> str:
         part = TaskContext.get().partitionId()
         version, name = 1 + part % 2, f"part-{part:05d}.arc.gz"
         head = member(arc_version_block(version, name))
-        offset, out = len(head) + 1, [head]
+        offset, out = len(head), [head]
         for batch in batches:
             for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
                 payload = (html or "").encode()
@@ -201,7 +218,7 @@ def write_arc(pages: DataFrame, path: str) -> str:
                         f"X-Page-Id: {'' if page_id is None else page_id}\r\n\r\n").encode() + payload
                 line = arc_line(version, f"urn:page:{page_id}" if url is None else url, "text/html", len(http), 200, "-", offset, name)
                 out.append(member(line + http + b"\n"))
-                offset += len(out[-1]) + 1
+                offset += len(out[-1])
                 if len(out) >= 500:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
                     out = []

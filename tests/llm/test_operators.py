@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -454,6 +456,33 @@ def test_arc_versions_and_truncation():
             list(warc.arc_records(warc.inflate(data[:-6])))
 
 
+def test_archives_are_plain_gzip_files(spark, tmp_path, monkeypatch):
+    ship(spark)
+    rows = [(1, "filedesc://a/b", "<p>one</p>"), (2, "filedesc://x 1 2", "<p>two</p>"), (3, "http://a", None), (4, "http://b", "z" * 70_000), (5, "filedesc://", "<p>one</p>")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    arc = warc.write_arc(frame, f"{tmp_path}/arc")
+    path = warc.convert(spark, arc, f"{tmp_path}/warc")
+    for folder, mark, count in ((arc, b"HTTP/1.1 200 OK", 5), (path, b"WARC/1.1\r\n", 5)):
+        for file in Path(folder).glob("part-*"):
+            data = file.read_bytes()
+            assert gzip.decompress(data).count(mark) == count
+            at, starts = 0, []
+            while at < len(data):
+                one = zlib.decompressobj(31)
+                one.decompress(data[at:])
+                starts.append(at)
+                at = len(data) - len(one.unused_data)
+            assert len(starts) == count + (folder == arc)
+            for start, line in zip(starts[1:], (x for x in gzip.decompress(data).split(b"\n") if b" 192.0.2.1 " in x)):
+                if folder == arc and len(line.split(b" ")) == 10:
+                    assert int(line.split(b" ")[7]) == start
+    assert {(r.page_id, r.url, r.record_type) for r in warc.read_warc(spark, path).collect()} == {
+        (1, "filedesc://a/b", "revisit"), (2, "filedesc://x%201%202", "response"), (3, "http://a", "response"), (4, "http://b", "response"), (5, "filedesc://", "response")}
+    for size in (1 << 24, (1 << 24) + 5):
+        blob = warc.member(b"a" * size)
+        assert blob[-1] == 0 and gzip.decompress(blob) == b"a" * size == b"".join(warc.inflate(blob))
+
+
 # 9
 
 
