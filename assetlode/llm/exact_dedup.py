@@ -1,20 +1,25 @@
 """Exact deduplication against a persistent digest index, in DataFrame operations only.
 
-The index is a table bucketed and sorted by digest. A batch is reduced to one
-row per digest, sort-merge anti-joined with the index, and what is new is
-appended; no step carries texts through a shuffle.
+The index is a table bucketed and sorted by digest, at a path that the caller
+gives and that any later session opens again. A batch is reduced to one row per
+digest; a sort-merge anti-join with the index says which digests are new, and the
+batch's rows are appended: for each digest its number of rows, and the keeper where
+it is new. Verdicts are read back from the index. No step carries texts through a
+shuffle.
 
 Defined results: a null text counts as empty; texts of white space only equal
 the empty text; a null doc_id ranks after every other id; repeated rows count
 each in ``group_size``; an empty table gives no rows; columns other than
-``doc_id`` and ``text`` are ignored.
+``doc_id`` and ``text`` are ignored. A batch that is run again under its name, be it
+after a crash in the middle of an append, adds nothing twice and gives the verdicts
+of its first run. Batches of one index are run one after another.
 """
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlode.llm.hot import keyed, lookup, only_rows
@@ -28,40 +33,64 @@ def normalised(text) -> F.Column:
 
 
 class DigestIndex:
-    """An append-only table (digest binary, keep_id, n_rows) bucketed and sorted by digest."""
+    """An append-only table (digest binary, batch string, number long, keep_id, n_rows long) bucketed and sorted by digest.
 
-    def __init__(self, spark: SparkSession, table: str | None = None, buckets: int | None = None):
-        self.spark, self.buckets = spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.table = table or f"digest_index_{uuid.uuid4().hex}"
+    Batches are numbered in the order of their first append. The row of a digest's
+    first batch has the keeper; each batch has a row with its count. ``path`` None
+    is a private index in the shared folder.
+    """
 
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.table)
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        self.spark, self.path = spark, (path or staging_path(spark, "digest-index")).rstrip("/")
+        self.buckets, self.private = buckets, path is None
+        self.table = f"digest_index_{hashlib.md5(self.path.encode()).hexdigest()}"
+
+    def open(self, id_type: str = "bigint") -> DigestIndex:
+        """Register the table of ``path`` in this session; an index that is there keeps its number of buckets."""
+        if not self.spark.catalog.tableExists(self.table):
+            spec = self.spark.createDataFrame([], "buckets long, id_type string")
+            made = self.spark.read.schema(spec.schema).parquet(f"{self.path}/spec").first() if self._exists(f"{self.path}/spec") else None
+            if made is None:
+                buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+                self.spark.range(1).select(F.lit(buckets).cast("long").alias("buckets"), F.lit(id_type).alias("id_type")).write.mode("overwrite").parquet(f"{self.path}/spec")
+            else:
+                buckets, id_type = made["buckets"], made["id_type"]
+            self.spark.sql(
+                f"CREATE TABLE {self.table} (digest BINARY, batch STRING, number BIGINT, keep_id {id_type}, is_first BOOLEAN, n_rows BIGINT) USING parquet "
+                f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}/rows'")
+            self.buckets = buckets
+        return self
+
+    def _exists(self, path: str) -> bool:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
 
     def read(self) -> DataFrame:
-        return self.spark.table(self.table)
+        return self.open().spark.table(self.table)
 
-    def ensure(self, id_type: str) -> None:
-        """An empty index where there is none yet."""
-        if not self.exists():
-            empty = self.spark.createDataFrame([], f"digest binary, keep_id {id_type}, n_rows long")
-            self._write(empty.write.option("path", staging_path(self.spark, self.table)))
+    def number(self, batch: str) -> tuple[int, bool]:
+        """The number of a batch, and whether the index has rows of it."""
+        own, last = self.read().agg(F.max(F.when(F.col("batch") == batch, F.col("number"))), F.max("number")).first()
+        return (own, True) if own is not None else ((last or 0) + 1, False)
 
-    def append(self, fresh: DataFrame) -> None:
+    def append(self, rows: DataFrame) -> None:
         """Add rows; one writer per bucket, so that a batch adds one file to each."""
-        self._write(fresh.select("digest", "keep_id", "n_rows").repartition(self.buckets, "digest").write)
+        rows.select(*self.read().columns).repartition(self.buckets or 1, "digest").write.insertInto(self.table)
+        self.spark.catalog.refreshTable(self.table)
 
-    def _write(self, writer: DataFrameWriter) -> None:
-        writer.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.table)
+    def close(self) -> None:
+        """Forget the table's name in this session; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256; appends what is new to ``index``.
+def deduplicate(docs: DataFrame, index: DigestIndex, batch: str = "batch") -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256; appends the batch to ``index``.
 
     Of equal texts the row with the most code points stays, then the smallest
     doc_id. Where an earlier batch has the text, its keeper stays and
-    ``group_size`` counts that batch's rows too.
+    ``group_size`` counts the rows of the batches up to this one.
     """
-    return _verdicts(docs, index).select(
+    return _verdicts(docs, index, batch).select(
         "doc_id",
         "keep_id",
         F.col("group_size").cast("long").alias("group_size"),
@@ -70,7 +99,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
     )
 
 
-def _verdicts(docs: DataFrame, index: DigestIndex, row: str | None = None) -> DataFrame:
+def _verdicts(docs: DataFrame, index: DigestIndex, batch: str, row: str | None = None) -> DataFrame:
     """Rows with the verdict on their digest; with the name of a row key, also that key and, as ``keep_row``, the one row of each digest that stays."""
     rows = materialize(
         docs.select(
@@ -84,26 +113,37 @@ def _verdicts(docs: DataFrame, index: DigestIndex, row: str | None = None) -> Da
     rank = [(-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c")]
     best = F.min(F.struct(*rank, *([F.col("row").alias("d")] if row else [])))
     keep_row = [best.getField("d").alias("keep_row")] if row else []
-    groups = rows.groupBy("digest").agg(best.getField("c").alias("keep_id"), *keep_row, F.count(F.lit(1)).alias("n_rows"))
-    index.ensure(dict(docs.dtypes)["doc_id"])
-    known = index.read().select("digest", F.col("keep_id").alias("old_id"), F.col("n_rows").alias("old_rows"), F.lit(True).alias("known"))
-    groups = materialize(groups.hint("merge").join(known, "digest", "left"), "digest-groups")
-    index.append(groups.hint("merge").join(index.read().select("digest"), "digest", "left_anti"))
-
-    known = F.coalesce("known", F.lit(False))
-    verdicts = groups.select(
-        "digest",
-        F.when(known, F.col("old_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        (F.col("n_rows") + F.coalesce("old_rows", F.lit(0))).alias("group_size"),
-        known.alias("old"),
-        "n_rows",
-        *(["keep_row"] if row else []),
+    groups = materialize(rows.groupBy("digest").agg(best.getField("c").alias("keep_id"), *keep_row, F.count(F.lit(1)).alias("n_rows")), "digest-groups")
+
+    index.open(dict(docs.dtypes)["doc_id"])
+    number, begun = index.number(batch)
+    earlier = index.read().where(F.col("number") < number).select("digest")
+    fresh = groups.hint("merge").join(earlier, "digest", "left_anti").withColumn("is_first", F.lit(True))
+    seen = groups.hint("merge").join(earlier, "digest", "left_semi").withColumn("is_first", F.lit(False))
+    added = fresh.unionByName(seen).withColumns({"batch": F.lit(batch), "number": F.lit(number).cast("long")})
+    if begun:
+        added = added.hint("merge").join(index.read().where(F.col("number") == number).select("digest"), "digest", "left_anti")
+    index.append(added)
+
+    # Back from the index: its rows lie by digest already.
+    keeper = F.col("is_first")
+    stored = index.read().where(F.col("number") <= number).groupBy("digest").agg(
+        F.max(F.struct(keeper.alias("k"), "keep_id")).getField("keep_id").alias("keep_id"),
+        F.max(F.when(keeper, F.col("number"))).alias("first"),
+        F.sum("n_rows").alias("group_size"),
+        F.max(F.when(F.col("number") == number, F.col("n_rows"))).alias("n_rows"),
     )
+    verdicts = stored.where("n_rows is not null").withColumn("old", F.col("first") < number).drop("first")
+    if row:
+        verdicts = verdicts.hint("merge").join(groups.select("digest", "keep_row"), "digest")
+    verdicts = materialize(verdicts, "digest-verdicts")
+    if index.private:
+        index.close()
     return lookup(rows, verdicts, "digest", "n_rows", rows.count())
 
 
-def keep_first_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """``docs`` with one row for each text that ``index`` doesn't have yet, whatever the doc_ids; all columns stay."""
+def keep_first_copies(docs: DataFrame, index: DigestIndex | None = None, batch: str = "batch") -> DataFrame:
+    """``docs`` with one row for each text that earlier batches of ``index`` don't have, whatever the doc_ids; all columns stay."""
     rows, key = keyed(docs)
-    kept = _verdicts(rows, index or DigestIndex(docs.sparkSession), key).where(~F.col("old") & (F.col("row") == F.col("keep_row")))
+    kept = _verdicts(rows, index or DigestIndex(docs.sparkSession), batch, key).where(~F.col("old") & (F.col("row") == F.col("keep_row")))
     return only_rows(rows, materialize(kept.select(F.col("row").alias(key)), "kept-rows"), key)
