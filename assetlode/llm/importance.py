@@ -2,14 +2,17 @@
 
 Two generative models of hashed word uni- and bigrams: one of target text (good
 labelled documents), one of the raw corpus, counted over every document. A
-document's log weight is the mean log ratio of the two over its n-grams, times a
-temperature that makes lengths comparable; with a Gumbel number added, the top k
-of all documents are a sample without replacement in proportion to the weights.
+document's log weight is the sum of the log ratios of the two over its n-grams; as
+n-grams of one text are far from independent, one with more than ``TEMPER`` of them
+counts as that many, so that the sum grows with the evidence but not with mere
+length. With a Gumbel number added, the top k of all documents are a sample
+without replacement in proportion to the weights.
 
 Defined results: a null text is an empty one, with weight 0; equal keys go by
-doc_id (null first); repeated rows are drawn each; without target rows all weights
-are 0; an empty table gives no rows; columns other than ``doc_id`` and ``text``
-are ignored.
+doc_id (null first); a row's Gumbel number hangs on doc_id, text and seed, and rows
+that share the first two are numbered and draw one each; without target rows all
+weights are 0; an empty table gives no rows; columns other than ``doc_id`` and
+``text`` are ignored.
 """
 
 from __future__ import annotations
@@ -22,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetlode.llm.arrow import longs, map_rows
+from assetlode.llm.arrow import map_rows
+from assetlode.llm.hot import lookup
 from assetlode.llm.quality_rules import labelled_sample
 from assetlode.llm.ranking import running_total
 from assetlode.plans.staging import materialize
 
 BUCKETS = 1 << 14
 SMOOTHING = 1.0
-TEMPERATURE = 100.0
+#: So many n-grams of a text count in full; more are scaled down to them.
+TEMPER = 64.0
 KEEP_SHARE = 0.85
 SAMPLE_ROWS = 20_000
 SEED = 10
@@ -70,24 +75,39 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
+def log_weight(buckets: np.ndarray, ratio: np.ndarray) -> float:
+    n = len(buckets)
+    return float(ratio[buckets].sum()) * min(1.0, TEMPER / n) if n else 0.0
+
+
 def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """row, doc_id and log_weight of every row."""
+    """row, doc_id, mark (a hash of doc_id and text) and log_weight of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
     id_type = dict(docs.dtypes)["doc_id"]
 
     def run(part: pa.RecordBatch) -> dict:
-        out = []
-        for text in part.column("text").to_pylist():
-            buckets = ngram_buckets(text)
-            out.append(float(shared.value[buckets].mean()) * TEMPERATURE if len(buckets) else 0.0)
-        return {"row": part.column("row"), "doc_id": part.column("doc_id"), "log_weight": pa.array(out, pa.float64())}
+        weights = [log_weight(ngram_buckets(t), shared.value) for t in part.column("text").to_pylist()]
+        return {c: part.column(c) for c in ("row", "doc_id", "mark")} | {"log_weight": pa.array(weights, pa.float64())}
+
+    mark = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    source = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", mark.alias("mark"), "text")
+    return map_rows(source, run, f"row long, doc_id {id_type}, mark long, log_weight double", rows=1000)
+
 
-    return map_rows(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), run, f"row long, doc_id {id_type}, log_weight double", rows=1000)
+def numbered(weighed: DataFrame) -> DataFrame:
+    """``weighed`` with a ``repeat``: 0 where the mark is the row's own, else a number that no other row of the mark has."""
+    shared = materialize(weighed.groupBy("mark").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "repeated-marks")
+    total = weighed.count()
+    single = weighed.join(shared, "mark", "left_anti").withColumn("repeat", F.lit(0).cast("long"))
+    if shared.isEmpty():
+        return single
+    repeated = lookup(weighed, shared, "mark", "rows", total).withColumn("one", F.lit(1))
+    return single.unionByName(running_total(repeated, ["mark", "row"], weighed.columns, "one", "repeat"))
 
 
 def gumbel(seed: int) -> F.Column:
-    """A Gumbel number that only doc_id and seed decide."""
-    bits = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)), F.lit(1 << 52))
+    """A Gumbel number that only mark, repeat and seed decide."""
+    bits = F.pmod(F.xxhash64("mark", "repeat", F.lit(seed)), F.lit(1 << 52))
     return -F.log(-F.log((bits + F.lit(0.5)) / F.lit(float(1 << 52))))
 
 
@@ -95,8 +115,8 @@ def resample(docs: DataFrame, labels: DataFrame, keep_share: float = KEEP_SHARE,
     """doc_id, log_weight, gumbel_key, place and kept of every row; the first ceil(keep_share * rows) places are kept."""
     target = bucket_counts(labelled_sample(docs, labels, "quality", rows).where("label = 1"))
     ratio = log_ratio(target, bucket_counts(docs))
-    weighed = materialize(weigh(docs, ratio).withColumn("gumbel_key", F.col("log_weight") + gumbel(seed)), "weights")
+    weighed = materialize(weigh(docs, ratio), "weights")
     wanted = math.ceil(weighed.count() * keep_share)
-    ordered = weighed.withColumns({"down": -F.col("gumbel_key"), "one": F.lit(1)})
+    ordered = numbered(weighed).withColumn("gumbel_key", F.col("log_weight") + gumbel(seed)).withColumns({"down": -F.col("gumbel_key"), "one": F.lit(1)})
     placed = running_total(ordered, ["down", "doc_id", "row"], ["doc_id", "log_weight", "gumbel_key"], "one", "place")
     return placed.select("doc_id", "log_weight", "gumbel_key", "place", (F.col("place") < wanted).alias("kept"))

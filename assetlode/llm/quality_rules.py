@@ -164,10 +164,14 @@ class QualityModel:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """text and label of at most ``rows`` labelled documents, those with the least checksums of their ids."""
+    """doc_id, text and label of at most ``rows`` labelled documents, those with the least checksums of their ids.
+
+    Of rows that share a labelled doc_id one text is taken, the greatest, so that repeated ids don't exceed the bound.
+    """
     some = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
     some = some.orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id", "label").limit(rows)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")  # at most ``rows`` rows
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")  # at most ``rows`` rows
+    return found.groupBy("doc_id", "label").agg(F.max("text").alias("text"))
 
 
 def calibrated(scores: np.ndarray, good: np.ndarray, good_lost: float) -> float:

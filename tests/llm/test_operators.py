@@ -499,14 +499,40 @@ def test_exact_dedup(spark, docs, empty):
         want[(i, best, len(groups[norm(t)]), i == best, hashlib.sha256(norm(t).encode()).hexdigest())] += 1
     assert Counter(tuple(r) for r in out) == want
     more = spark.createDataFrame([(50, BASE), (51, "quite new"), (52, "quite  new"), (53, None)], "doc_id long, text string")
-    again = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.deduplicate(more, index).collect()}
+    again = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.deduplicate(more, index, "second").collect()}
     assert again == {50: (3, 6, False), 51: (52, 2, False), 52: (52, 2, True), 53: (9, 4, False)}
-    assert index.read().count() == len(groups) + 1
+    assert index.read().where("is_first").count() == len(groups) + 1 and index.read().count() == len(groups) + 3
     assert exact_dedup.deduplicate(empty, exact_dedup.DigestIndex(spark, buckets=2)).count() == 0
     kept = exact_dedup.keep_first_copies(docs, exact_dedup.DigestIndex(spark, buckets=2))
     assert set(kept.columns) == set(docs.columns) and kept.count() == len(groups)
 
 
+def test_digest_index_is_persistent(spark, tmp_path):
+    ship(spark)
+    made = lambda ids, text="same text": spark.createDataFrame([(i, text) for i in ids], "doc_id long, text string")
+    sizes = lambda frame: {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in frame.collect()}
+    path = f"file://{tmp_path}/index"
+    index = exact_dedup.DigestIndex(spark, path, buckets=3)
+    assert sizes(exact_dedup.deduplicate(made([4, 5]), index, "a")) == {4: (4, 2, True), 5: (4, 2, False)}
+    assert sizes(exact_dedup.deduplicate(made([1]), index, "b")) == {1: (4, 3, False)}
+    index.close()
+    other = exact_dedup.DigestIndex(spark.newSession(), path, buckets=7)
+    assert sizes(exact_dedup.deduplicate(made([2, 3, 9]), other, "c")) == {i: (4, 6, False) for i in (2, 3, 9)}
+    assert other.buckets == 3 and other.read().count() == 3
+    for batch, ids, want in (("a", [4, 5], {4: (4, 2, True), 5: (4, 2, False)}), ("c", [2, 3, 9], {i: (4, 6, False) for i in (2, 3, 9)})):
+        assert sizes(exact_dedup.deduplicate(made(ids), other, batch)) == want
+    assert other.read().count() == 3
+    # an append that a crash cut short
+    two = made([20]).union(made([21], "half there")).union(made([22], "missing"))
+    half = spark.sql("SELECT unhex(sha2('halfthere', 256)) AS digest, 'd' AS batch, 4L AS number, 21L AS keep_id, true AS is_first, 1L AS n_rows")
+    other.append(half)
+    assert sizes(exact_dedup.deduplicate(two, other, "d")) == {20: (4, 7, False), 21: (21, 1, True), 22: (22, 1, True)}
+    assert other.read().count() == 6
+    files = [f for f in Path(f"{tmp_path}/index/rows").glob("*.parquet")]
+    assert files and all("_0000" in f.name for f in files)
+    other.close()
+
+
 # 10
 
 
@@ -528,6 +554,39 @@ def test_importance(spark, docs, empty):
     assert importance.resample(empty, labels).count() == 0
 
 
+def test_draws_follow_the_weights(spark):
+    """Of documents with equal weights each is drawn as often as any other, over many seeds; a heavier one more often."""
+    ship(spark)
+    rows = [(k, prose(k, 30)) for k in range(40)] + [(None, "the same words here")] * 6 + [(None, "other words")]
+    every = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(40)], "doc_id long, quality int")
+    runs = [importance.resample(every, labels, keep_share=0.5, seed=s).collect() for s in range(3)]
+    kept = [{(r.doc_id, round(r.gumbel_key, 6)) for r in run if r.kept} for run in runs]
+    assert all(len(k) == 24 for k in kept) and len({frozenset(i for i, _ in k) for k in kept}) == 3
+    ratio = importance.log_ratio(importance.bucket_counts(every.where("doc_id is not null")), importance.bucket_counts(every))
+    for run in runs:
+        weights = {r.doc_id: r.log_weight for r in run if r.doc_id is not None}
+        assert all(abs(weights[i] - importance.log_weight(importance.ngram_buckets(t), ratio)) < 1e-9 for i, t in rows[:40])
+        copies = [r.gumbel_key for r in run if r.doc_id is None]
+        assert len(set(copies)) == 7
+        order = sorted(run, key=lambda r: (-r.gumbel_key, r.doc_id is not None, r.doc_id or 0))
+        assert [r.place for r in order] == list(range(len(rows)))
+    # The seeds' draws of one pair: the chance that the first beats the second is the logistic function of the difference of weights.
+    pair = spark.range(4000).select(F.col("id").alias("mark"), F.lit(0).cast("long").alias("repeat"))
+    a, b = ([r[0] for r in pair.select(importance.gumbel(s)).collect()] for s in (1, 2))
+    share = np.mean([x + 1.0 > y for x, y in zip(a, b)])
+    assert abs(share - 1 / (1 + math.exp(-1.0))) < 0.03
+    assert abs(np.mean(a) - 0.5772) < 0.08
+
+
+def test_labelled_samples_are_bounded_whatever_the_ids(spark):
+    ship(spark)
+    frame = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(2, "b"), (None, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert sorted(tuple(r) for r in quality_rules.labelled_sample(frame, labels, "quality", 5).select("doc_id", "label", "text").collect()) == [(1, 1, "text 9"), (2, 0, "b")]
+    assert toxicity.training_rows(frame, labels).count() <= 2
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     good = [(k, prose(k, 90)) for k in range(60)]
