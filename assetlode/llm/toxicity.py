@@ -2,9 +2,12 @@
 
 Features are the words of a text and the first letters of its words, present or
 not. Those most tied to the label in a bounded sample of labelled rows enter a
-logistic model; every labelled text with an identity term is also seen with its
-terms swapped for others of their kind, and the squared change of the raw score
-is penalised, so that naming a group does not move the score.
+logistic model. Every labelled text is also seen in counterfactuals: with its
+identity terms swapped for others of their kind or, where it names no group, with a
+term put in, that term's partner in its place, and without. The squared change of
+the raw score between them is penalised, so that naming a group doesn't move the
+score: a term that begins like an insult would else share its first letters'
+weights.
 
 Defined results: a null text is an empty one and scores as such; without labelled
 rows every text scores 0; repeated rows are scored each; an empty table gives no
@@ -13,6 +16,7 @@ rows; columns other than ``doc_id`` and ``text`` are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -22,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetlode.llm.arrow import map_rows
+from assetlode.llm.quality_rules import labelled_sample
+from assetlode.plans.staging import materialize
 
 SAMPLE_ROWS = 20_000
 FEATURES = 1_024
@@ -32,19 +38,22 @@ PREFIXES = (3, 4, 5, 6)
 
 # Identity terms by kind, each swapped for the next one of its kind.
 IDENTITY_TERMS = {
-    "religion": "muslim christian jewish hindu buddhist catholic atheist",
-    "religion_plural": "muslims christians jews hindus buddhists catholics atheists",
-    "orientation": "gay straight lesbian bisexual heterosexual",
+    "religion": "muslim christian jewish hindu buddhist catholic protestant mormon sikh atheist",
+    "religion_plural": "muslims christians jews hindus buddhists catholics protestants mormons sikhs atheists",
+    "orientation": "gay straight lesbian bisexual heterosexual queer",
     "gender": "woman man",
     "gender_plural": "women men",
-    "origin": "african asian european american mexican arab",
-    "origin_plural": "africans asians europeans americans mexicans arabs",
+    "gender_identity": "transgender cisgender nonbinary trans cis",
+    "ability": "disabled deaf blind paralysed autistic",
+    "origin": "african asian european american mexican arab moroccan scottish turkish latino",
+    "origin_plural": "africans asians europeans americans mexicans arabs moroccans scots turks latinos",
     "colour": "black white",
     "de": "frauen männer muslime christen juden türken polen",
     "fr": "femmes hommes musulmans chrétiens juifs arabes",
     "es": "mujeres hombres musulmanes cristianos judíos árabes",
 }
 SWAP = {a.encode(): b.encode() for terms in IDENTITY_TERMS.values() for a, b in zip(terms.split(), terms.split()[1:] + terms.split()[:1])}
+TERMS = sorted(SWAP)
 SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -63,9 +72,20 @@ def swapped(words: set[bytes]) -> set[bytes]:
     return {SWAP.get(w, w) for w in words}
 
 
+def counterfactuals(words: set[bytes], draw: int) -> list[tuple[set[bytes], set[bytes]]]:
+    """Pairs of texts that differ in the groups they name only; ``draw`` picks the term that is put in where there is none."""
+    if words & SWAP.keys():
+        return [(words, swapped(words))]
+    term = TERMS[draw % len(TERMS)]
+    named = words | {term}
+    return [(named, words | {SWAP[term]}), (named, words)]
+
+
 class ToxicityModel:
-    def __init__(self, names: list[bytes], weights: np.ndarray, bias: float):
-        self.bias = float(bias)
+    """Weights of features; ``pairs`` counterfactual pairs were seen in training, ``changed`` of them with a change of features."""
+
+    def __init__(self, names: list[bytes], weights: np.ndarray, bias: float, pairs: int = 0, changed: int = 0):
+        self.bias, self.pairs, self.changed = float(bias), pairs, changed
         self.whole = {n[2:]: float(w) for n, w in zip(names, weights) if n[:1] == b"w"}
         self.starts = {k: {n[2:]: float(w) for n, w in zip(names, weights) if n[:1] == b"%d" % k} for k in PREFIXES}
 
@@ -81,11 +101,12 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train(x: np.ndarray, change: np.ndarray, y: np.ndarray, fairness: float = FAIRNESS, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, float]:
+def train(x: np.ndarray, change: np.ndarray, y: np.ndarray, fairness: float = FAIRNESS, ridge: float = RIDGE, steps: int = STEPS, share: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise log loss + ridge + fairness * mean squared change of the raw score.
 
-    Accelerated gradient steps; ``change`` holds the features of texts with
-    identity terms less those of their swapped versions.
+    Accelerated gradient steps; ``change`` holds the features of one text of each
+    counterfactual pair less those of the other, ``share`` how much each row of it
+    counts in the mean (all alike by default).
     """
     n, d = x.shape
     w, b = np.zeros(d, dtype=np.float64), 0.0
@@ -93,14 +114,15 @@ def train(x: np.ndarray, change: np.ndarray, y: np.ndarray, fairness: float = FA
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
     bound = 0.25 * weight.mean() * float((x.astype(np.float64) ** 2).sum(axis=1).mean() + 1) + ridge
     if len(change):
-        bound += 2 * fairness * float((change.astype(np.float64) ** 2).sum(axis=1).mean())
+        change = change.astype(np.float64) * np.sqrt(share if share is not None else np.full(len(change), 1 / len(change)))[:, None]
+        bound += 2 * fairness * float((change**2).sum())
     step = 1 / bound
     for k in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ v.astype(np.float32) + c, -40, 40)))
         r = weight * (p - y) / n
         gradient = x.T @ r.astype(np.float32) + ridge * v
         if len(change):
-            gradient = gradient + 2 * fairness * (change.T @ (change @ v.astype(np.float32))) / len(change)
+            gradient = gradient + 2 * fairness * (change.T @ (change @ v))
         w2, b2 = v - step * gradient, c - step * float(r.sum())
         momentum = k / (k + 3)
         v, c = w2 + momentum * (w2 - w), b2 + momentum * (b2 - b)
@@ -131,27 +153,29 @@ def fit(labelled: DataFrame, features: int = FEATURES, fairness: float = FAIRNES
     place = {n: k for k, n in enumerate(names)}
 
     def index(part: pa.RecordBatch) -> dict:
-        own, other = [], []
+        """Features by number; of each counterfactual pair those that only the first has, and, below zero, those that only the second has."""
+        own, changes = [], []
         for text in part.column("text").to_pylist():
             words = words_of(text)
-            swap = swapped(words)
             own.append(sorted(place[f] for f in place.keys() & features_of(words)))
-            other.append(sorted(place[f] for f in place.keys() & features_of(swap)) if swap != words else None)
-        kind = pa.list_(pa.int32())
-        return {"label": part.column("label"), "own": pa.array(own, kind), "other": pa.array(other, kind)}
-
-    rows = sorted(map_rows(labelled, index, "label int, own array<int>, other array<int>").collect(), key=lambda r: (r["own"], r["label"]))
-
-    def matrix(sets: list[list[int]]) -> np.ndarray:
-        out = np.zeros((len(sets), len(names)), dtype=np.float32)
-        for k, s in enumerate(sets):
-            out[k, s] = 1
-        return out
-
-    pairs = [(r["own"], r["other"]) for r in rows if r["other"] is not None]
-    change = matrix([a for a, _ in pairs]) - matrix([b for _, b in pairs])
-    weights, bias = train(matrix([r["own"] for r in rows]), change, np.array([r["label"] for r in rows], dtype=np.float64), fairness)
-    return ToxicityModel(names, weights, bias)
+            pairs = [(features_of(a), features_of(b)) for a, b in counterfactuals(words, zlib.crc32((text or "").encode("utf-8", "surrogatepass")))]
+            changes.append([sorted([place[f] + 1 for f in place.keys() & (a - b)] + [-place[f] - 1 for f in place.keys() & (b - a)]) for a, b in pairs])
+        return {"label": part.column("label"), "own": pa.array(own, pa.list_(pa.int32())), "changes": pa.array(changes, pa.list_(pa.list_(pa.int32())))}
+
+    rows = sorted(map_rows(labelled, index, "label int, own array<int>, changes array<array<int>>").collect(), key=lambda r: (r["own"], r["label"]))
+    x = np.zeros((len(rows), len(names)), dtype=np.float32)
+    for k, r in enumerate(rows):
+        x[k, r["own"]] = 1
+    found = Counter(tuple(change) for r in rows for change in r["changes"])
+    pairs, changed = sum(found.values()), sum(n for change, n in found.items() if change)
+    change = np.zeros((sum(map(bool, found)), len(names)), dtype=np.float32)
+    share = np.zeros(len(change))
+    for k, (own, n) in enumerate(sorted((c, n) for c, n in found.items() if c)):
+        share[k] = n / changed
+        for f in own:
+            change[k, abs(f) - 1] = np.sign(f)
+    weights, bias = train(x, change, np.array([r["label"] for r in rows], dtype=np.float64), fairness, share=share)
+    return ToxicityModel(names, weights, bias, pairs, changed)
 
 
 def fold(column: str = "doc_id") -> F.Column:
@@ -160,10 +184,8 @@ def fold(column: str = "doc_id") -> F.Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """text and label of at most ``rows`` labelled documents outside the held-out fold."""
-    own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 2)).select("doc_id", F.col("toxic").cast("int").alias("label")).distinct()
-    own = own.orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id", "label").limit(rows)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(own), "doc_id").select("text", "label")  # at most ``rows`` rows
+    """text and label of at most ``rows`` labelled documents outside the held-out fold, written once."""
+    return materialize(labelled_sample(docs, labels.where(fold() != 2), "toxic", rows).select("text", "label"), "toxicity-rows", compression="zstd")
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:

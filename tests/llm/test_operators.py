@@ -378,6 +378,26 @@ def test_counterfactual_penalty_lowers_the_weight_of_identity():
     assert abs(fair[1]) < 0.5 * abs(free[1]) and fair[0] > 0.5
 
 
+def test_counterfactuals_lower_false_positives_on_neutral_mentions(spark):
+    """Insults that begin like names of groups: without the penalty naming the group reads as toxic, with it it doesn't."""
+    ship(spark)
+    rng = np.random.default_rng(12)
+    insults = ["trash", "moron", "scum"]
+    rows = [(f"{prose(2000 + k, 30)} you {rng.choice(WORDS if k % 4 else insults)}{rng.choice(['', 'y', 'er', 's', 'ling', 'ish'])} thing", int(k % 4 == 0)) for k in range(600)]
+    labelled = spark.createDataFrame(rows[:400], "text string, label int")
+    free, fair = (toxicity.fit(labelled, fairness=f) for f in (0.0, toxicity.FAIRNESS))
+    assert fair.pairs == 800 and 0 < fair.changed == free.changed
+    clean = [t for t, y in rows[400:] if not y]
+    rate = lambda model: max(np.mean(model.scores([f"{t} {term.decode()}" for t in clean]) >= toxicity.THRESHOLD) for term in toxicity.TERMS)
+    assert rate(free) > 0.5 and rate(fair) < 0.1
+    for model in (free, fair):
+        assert np.mean((model.scores([t for t, _ in rows[400:]]) >= toxicity.THRESHOLD) == [bool(y) for _, y in rows[400:]]) > 0.95
+    words = {b"a", b"muslim"}
+    assert toxicity.counterfactuals(words, 3) == [(words, {b"a", b"christian"})]
+    ((one, two), (_, bare)) = toxicity.counterfactuals({b"a"}, 5)
+    assert bare == {b"a"} and len(one) == len(two) == 2 and toxicity.swapped(one) == two
+
+
 def test_toxicity(spark, docs, empty):
     rows, labels = [], []
     for k in range(400):
