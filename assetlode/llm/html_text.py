@@ -19,6 +19,7 @@ import html as entities
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,11 @@ CLOSES_OWN = {
 }
 SCOPES = frozenset("ul ol dl table tbody thead tfoot article section div main aside nav header footer body html form blockquote figure".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+# Quantifiers don't give back, so that a tag that doesn't end is read once; PLAIN takes quotes for letters.
+_OTHER = r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
+TOKEN = re.compile(_OTHER + r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
+PLAIN = re.compile(_OTHER + r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+TAG_START = re.compile(r"</?[a-zA-Z]|<[!?]")
 ATTRIBUTE = re.compile(r"""(class|id|role|aria-label|hidden|style|itemprop)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 LABEL = re.compile(r"""(?:^|\s)data-content="([01])"(?=\s|/|\Z)""")
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -75,11 +80,25 @@ def name_words(attributes: str, labelled: bool) -> tuple[tuple[str, ...], int]:
 
 
 def parse(page: str, labelled: bool = True) -> Node:
-    """The tree of a page; unclosed and stray tags are mended as browsers do in the common cases. Only ``labelled`` pages have labels read."""
+    """The tree of a page; unclosed and stray tags are mended as browsers do in the common cases. Only ``labelled`` pages have labels read.
+
+    A quote that is never closed ends with its tag, and from there on quotes are no
+    more than letters; a tag without an end is text. So each part of a page is read
+    a bounded number of times, whatever it holds.
+    """
     root = Node("#root", None)
     top, at, size = root, 0, len(page)
+    last, token = page.rfind(">"), TOKEN
+    opened: Counter[str] = Counter()
     while at < size:
-        found = TOKEN.search(page, at)
+        found, begin = None, at
+        while (start := TAG_START.search(page, begin)) and (start.start() < last or page.startswith("<!--", start.start())):
+            found = token.match(page, start.start())
+            if found is None and token is TOKEN:
+                found, token = PLAIN.match(page, start.start()), PLAIN
+            if found is not None:
+                break
+            begin = start.end()
         text = page[at : found.start() if found else size]
         if text:
             top.items.append(entities.unescape(text))
@@ -90,6 +109,10 @@ def parse(page: str, labelled: bool = True) -> Node:
         if not tag:
             continue
         if found[1]:
+            if not opened[tag]:
+                if tag == "p":
+                    top.items.append(Node("p", top))
+                continue
             node = top
             while node.parent and node.tag != tag:
                 if tag in INLINE and node.tag not in INLINE:
@@ -97,22 +120,23 @@ def parse(page: str, labelled: bool = True) -> Node:
                     break
                 node = node.parent
             if node is not None and node.parent:
-                top = node.parent
+                top = closed(top, node.parent, opened)
             elif tag == "p":
                 top.items.append(Node("p", top))
             continue
-        if tag in P_CLOSERS:
+        if tag in P_CLOSERS and opened["p"]:
             node = top
             while node.tag in INLINE and node.parent:
                 node = node.parent
             if node.tag == "p":
-                top = node.parent
-        elif tag in CLOSES_OWN:
+                top = closed(top, node.parent, opened)
+        elif tag in CLOSES_OWN and any(opened[t] for t in CLOSES_OWN[tag]):
             node = top
             while node.parent and node.tag not in SCOPES and node.tag not in CLOSES_OWN[tag]:
                 node = node.parent
             while node.parent and node.tag in CLOSES_OWN[tag]:
-                top = node = node.parent
+                node = node.parent
+                top = closed(top, node, opened)
         names, label = name_words(found[3], labelled)
         node = Node(tag, top, names, label)
         top.children.append(node)
@@ -124,10 +148,19 @@ def parse(page: str, labelled: bool = True) -> Node:
             node.items.append(page[at : end.start() if end else size])
             at = end.end() if end else size
             continue
+        opened[tag] += 1
         top = node
     return root
 
 
+def closed(top: Node, upto: Node, opened: Counter[str]) -> Node:
+    """``upto``, an ancestor of ``top``, when all that is open below it has been closed."""
+    while top is not upto:
+        opened[top.tag] -= 1
+        top = top.parent
+    return upto
+
+
 def nodes_of(root: Node) -> list[Node]:
     """All nodes that can hold content, parents before children."""
     out, stack = [], [root]
