@@ -1,20 +1,26 @@
 """Jaccard self-join of documents on word five-grams by a MinHash LSH forest.
 
-1. Every text becomes a set of shingles, a MinHash signature and, for each tree
-   of the forest, the prefix of its label. ``prefix_length`` starts at the full
-   labels and shortens the prefix until the trees together reach the target
-   recall at the threshold. It is one length for all documents, so the forest is
-   used as fixed bands; thresholds too low for any length are refused.
-2. Documents of one shingle set are a class with one representative. Those that
-   share a prefix meet in sorted order, in blocks of bounded size, and signatures
-   leave the pairs that may be similar; each block gives only a star of edges for
-   every group it finds.
-3. The components of these edges are verified with exact sets, again in blocks,
-   every pair of a component once. A block returns one row a document: its number
-   of links there and the least document it is connected with.
+1. Every text becomes a set of shingles, a MinHash signature and, for each tree of
+   the forest, a label: ``LABEL`` values of the signature, the first ``OWN`` of
+   which no other tree has. Documents of one shingle set are a class with one
+   representative.
+2. The least prefix on which documents can meet is the longest one at which the
+   trees together reach the target recall at the threshold (``prefix_length``);
+   thresholds too low for any are refused. Representatives that share it in a tree
+   are a node of its trie. There labels are sorted and the matched prefix shortens
+   from the full label on: neighbours in the order, which share the longest
+   prefixes, are compared first, and shorter ones are left only for documents that
+   are still apart, down to the least prefix, at which every pair between different
+   groups is compared. So a node full of near copies costs about one comparison a
+   document. Each node gives a star of edges for every group it finds.
+3. The components of these edges are verified with exact sets, every pair of a
+   component whose sizes can reach the threshold once, in blocks of bounded size. A
+   block returns one row a document: its number of links there and the least
+   document it is connected with.
 
 Pairs are compared inside blocks only and never written out, so what moves grows
-with the documents, not with the square of a group.
+with the documents; only the links of a group of near copies, each of which counts
+in the result, are compared in proportion to the square of its distinct texts.
 
 Defined results: words are runs of anything but ASCII white space, case kept; a
 text of one to four words has one shingle, all its words; a null text is an empty
@@ -27,6 +33,7 @@ than ``doc_id`` and ``text`` are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -40,22 +47,28 @@ from assetlode.operators.components import connected_components
 from assetlode.plans.staging import materialize
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, LABEL = 32, 4
+#: Trees, values of a label, and how many of them are the tree's own; the others are drawn from all.
+TREES, LABEL, OWN = 32, 16, 4
 RECALL = 1 - 1e-6
 #: Pairs whose signatures agree in a smaller share are not similar: over five standard errors below the threshold.
 MARGIN = 0.2
-BLOCK = 512
+#: Documents of a block, where signatures meet and where sets are verified.
+BLOCK, VERIFY_BLOCK = 512, 128
 SEED = 6
 
 _rng = np.random.default_rng(SEED)
-MULTIPLY = _rng.integers(0, 1 << 63, TREES * LABEL, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-ADD = _rng.integers(0, 1 << 63, TREES * LABEL, dtype=np.uint64)
+MULTIPLY = _rng.integers(0, 1 << 63, TREES * OWN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+ADD = _rng.integers(0, 1 << 63, TREES * OWN, dtype=np.uint64)
 POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WORDS)], dtype=np.uint64)
 
 
-def prefix_length(threshold: float, trees: int = TREES, label: int = LABEL, recall: float = RECALL) -> int:
-    """The longest prefix with which a pair at the threshold meets in some tree with probability ``recall``."""
-    length = label
+#: For each tree, the places in the signature of its label.
+LABELS = np.array([[*range(t * OWN, (t + 1) * OWN), *_rng.choice(np.delete(np.arange(TREES * OWN), np.s_[t * OWN : (t + 1) * OWN]), LABEL - OWN, replace=False)] for t in range(TREES)])
+
+
+def prefix_length(threshold: float, trees: int = TREES, own: int = OWN, recall: float = RECALL) -> int:
+    """The longest prefix of trees' own values with which a pair at the threshold meets in some tree with probability ``recall``."""
+    length = own
     while length > 1 and 1 - (1 - threshold**length) ** trees < recall:
         length -= 1
     if 1 - (1 - threshold**length) ** trees < recall:
@@ -92,7 +105,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 def prefixes(low: np.ndarray, length: int) -> np.ndarray:
     """For each tree, a hash of its number and the first ``length`` values of its label."""
-    labels = low.reshape(TREES, LABEL)[:, :length]
+    labels = low[LABELS[:, :length]]
     key = mix(np.arange(TREES, dtype=np.uint64) + np.uint64(1))
     for k in range(length):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + labels[:, k])
@@ -100,7 +113,7 @@ def prefixes(low: np.ndarray, length: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, length: int, key: str | None = None) -> DataFrame:
-    """row (of the column ``key``, if given), doc_id, digest of the shingle set, its size, bytes of the signature, prefixes."""
+    """row (of the column ``key``, if given), doc_id, mark (a hash of the text), digest of the shingle set, its size, bytes of the signature, prefixes."""
     id_type = dict(docs.dtypes)["doc_id"]
 
     def run(part: pa.RecordBatch) -> dict:
@@ -113,11 +126,11 @@ def sketch(docs: DataFrame, length: int, key: str | None = None) -> DataFrame:
             # Low bytes: the high ones of a minimum are nearly always zero where a text has many shingles.
             signs.append((low & np.uint64(0xFF)).astype(np.uint8).tobytes() if len(own) else b"")
             keys.append(prefixes(low, length) if len(own) else np.empty(0, dtype=np.int64))
-        return {"row": part.column("row"), "doc_id": part.column("doc_id"), "digest": pa.array(digests, pa.binary()), "size": longs(sizes),
+        return {"row": part.column("row"), "doc_id": part.column("doc_id"), "mark": part.column("mark"), "digest": pa.array(digests, pa.binary()), "size": longs(sizes),
                 "sign": pa.array(signs, pa.binary()), "prefixes": list_array(keys, pa.int64())}
 
-    source = docs.select((F.col(key) if key else F.monotonically_increasing_id()).alias("row"), "doc_id", "text")
-    return map_rows(source, run, f"row long, doc_id {id_type}, digest binary, size long, sign binary, prefixes array<long>")
+    source = docs.select((F.col(key) if key else F.monotonically_increasing_id()).alias("row"), "doc_id", F.xxhash64("text").alias("mark"), "text")
+    return map_rows(source, run, f"row long, doc_id {id_type}, mark long, digest binary, size long, sign binary, prefixes array<long>")
 
 
 def least_connected(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -138,24 +151,86 @@ def in_blocks(members: DataFrame, group: str, size: str) -> DataFrame:
     return dealt.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")}).drop("other")
 
 
+def agreeing(a: np.ndarray, b: np.ndarray, need: float) -> np.ndarray:
+    return (a == b).sum(axis=-1) >= need
+
+
+def descend(sign: np.ndarray, tree: int, need: float, block: np.ndarray | None = None) -> np.ndarray:
+    """A group number for each document of a trie node: those tied by signatures that agree in ``need`` values.
+
+    With ``block``, pairs within one block may be left out: they meet elsewhere.
+    """
+    order = np.lexsort(sign[:, LABELS[tree][::-1]].T)
+    own = sign[order]
+    # The deepest prefixes are those of neighbours.
+    near = agreeing(own[1:], own[:-1], need)
+    group = np.concatenate([[0], np.cumsum(~near)])
+    count = int(group[-1]) + 1
+    root = list(range(count))
+
+    def find(g: int) -> int:
+        while root[g] != g:
+            root[g] = root[root[g]]
+            g = root[g]
+        return g
+
+    if count > 1:
+        # Down to the node's own prefix: all that isn't in the largest group meets every other one.
+        apart = np.flatnonzero(group != np.bincount(group).argmax())
+        blocks = block[order] if block is not None else None
+        for at in range(0, len(apart), 32):
+            rows = apart[at : at + 32]
+            met = agreeing(own[rows, None, :], own[None, :, :], need) & (group[rows, None] != group[None, :])
+            if blocks is not None:
+                met &= blocks[rows, None] != blocks[None, :]
+            for i, j in set(zip(*(x.tolist() for x in (group[rows][met.nonzero()[0]], group[met.nonzero()[1]])))):
+                root[find(i)] = find(j)
+    out = np.empty(len(sign), dtype=np.int64)
+    out[order] = np.array([find(g) for g in range(count)])[group]
+    return out
+
+
 def may_link(part: pa.RecordBatch, least: float) -> list[tuple[int, int]]:
     """A star of edges for each group of documents whose signatures agree enough."""
     rep = part.column("rep").to_numpy()
     if len(rep) < 2:
         return []
     sign = np.frombuffer(b"".join(part.column("sign").to_pylist()), dtype=np.uint8).reshape(len(rep), -1)
-    block = part.column("block").to_numpy()
-    cross = part.column("bi")[0].as_py() != part.column("bj")[0].as_py()
     need = least * sign.shape[1]
     if len(rep) == 2:
-        return [(int(rep.min()), int(rep.max()))] if (sign[0] == sign[1]).sum() >= need and (not cross or block[0] != block[1]) else []
-    linked = np.zeros((len(rep), len(rep)), dtype=bool)
-    for at in range(0, len(rep), 32):
-        linked[at : at + 32] = (sign[at : at + 32, None, :] == sign[None, :, :]).sum(axis=2) >= need
-    if cross:
-        linked &= block[:, None] != block[None, :]
-    low = least_connected(linked, rep)
-    return [(int(a), int(b)) for a, b in zip(low, rep) if a != b]
+        return [(int(rep.min()), int(rep.max()))] if agreeing(sign[0], sign[1], need) else []
+    cross = part.column("bi")[0].as_py() != part.column("bj")[0].as_py()
+    group = descend(sign, part.column("tree")[0].as_py(), need, part.column("block").to_numpy() if cross else None)
+    order = np.lexsort((rep, group))
+    first = np.concatenate([[True], group[order][1:] != group[order][:-1]])
+    low = rep[order][np.flatnonzero(first)][np.cumsum(first) - 1]
+    return [(int(a), int(b)) for a, b in zip(low, rep[order]) if a != b]
+
+
+def in_size_blocks(members: DataFrame, threshold: float) -> DataFrame:
+    """Each row of (component, members, classes, size, rep) once for every pair of blocks it takes part in.
+
+    ``class`` numbers sizes so that sets of similar size are of one class or of
+    neighbouring ones; ``classes`` has a component's count of each. Blocks are cut
+    within classes, and only those that can have links meet. A component that fits
+    into one block is one.
+    """
+    blocks = lambda c: F.ceil(F.coalesce(F.element_at("classes", c), F.lit(0)) / VERIFY_BLOCK).cast("long")
+    code = lambda c: F.transform(F.sequence(F.lit(0).cast("long"), blocks(c) - 1), lambda b: c.cast("long") * (1 << 32) + b)
+    listed = lambda c: F.when(blocks(c) > 0, code(c)).otherwise(F.array().cast("array<long>"))
+    own = F.col("class")
+    mine = own.cast("long") * (1 << 32) + F.pmod(F.xxhash64("rep", F.lit(1)), F.greatest(blocks(own), F.lit(1)))
+    whole = F.col("members") <= VERIFY_BLOCK
+    dealt = members.withColumn("class", size_class(F.col("size"), threshold))
+    dealt = dealt.withColumn("block", F.when(whole, F.lit(0).cast("long")).otherwise(mine))
+    others = F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(F.concat(listed(own - 1), listed(own), listed(own + 1)))
+    dealt = dealt.withColumn("other", F.explode(others))
+    return dealt.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")}).drop("other", "class")
+
+
+def size_class(size: F.Column, threshold: float) -> F.Column:
+    """A number that differs by at most one between sets whose sizes allow a similarity of ``threshold``."""
+    return F.floor(F.log(size) / (math.log(1 / threshold) * (1 + 1e-9) if threshold < 1 else 1e-9)).cast("int")
 
 
 def verify(part: pa.RecordBatch, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,7 +286,7 @@ def _classes(docs: DataFrame, threshold: float, key: str | None = None) -> DataF
 
     # Meetings in the forest
     reps = materialize(reps, "representatives", compression="zstd")
-    keys = reps.select("rep", F.explode("prefixes").alias("prefix"))
+    keys = reps.select("rep", F.posexplode("prefixes").alias("tree", "prefix"))
     full = keys.groupBy("prefix").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
     met = lookup(keys, materialize(full, "prefixes"), "prefix", "met", max(1, total * TREES))
     blocks = in_blocks(met, "prefix", "met").join(reps.select("rep", "sign"), "rep")
@@ -228,27 +303,30 @@ def _classes(docs: DataFrame, threshold: float, key: str | None = None) -> DataF
             yield pa.RecordBatch.from_arrays([longs(c) for c in zip(*set(edges))], names=["src", "dst"])
 
     candidates = (
-        blocks.select("prefix", "bi", "bj", "block", "rep", "sign").repartition(parts, "prefix", "bi", "bj").sortWithinPartitions("prefix", "bi", "bj")
+        blocks.select("prefix", "tree", "bi", "bj", "block", "rep", "sign").repartition(parts, "prefix", "bi", "bj").sortWithinPartitions("prefix", "bi", "bj")
         .mapInArrow(meet, "src long, dst long").distinct()
     )
     near = connected_components(candidates)
-    groups = materialize(near.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "candidate-groups")
+    nodes = near.withColumnRenamed("node", "rep").join(reps.select("rep", F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"), "digest", "size"), "rep")
+    nodes = materialize(nodes, "candidates")
+    classes = nodes.groupBy("component", size_class(F.col("size"), threshold).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    # A component has as many classes as sizes have orders of magnitude.
+    groups = materialize(
+        classes.groupBy("component").agg(F.sum("n").alias("members"), F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("classes")), "candidate-groups")
 
     # Exact verification
-    member = lookup(near.withColumnRenamed("node", "rep"), groups, "component", "members", total)
-    known = materialize(
-        member.join(reps.select("rep", F.col("doc_id").alias("of_id"), "digest"), "rep").select("component", "members", "rep", "of_id", "digest"), "candidates")
+    known = lookup(nodes, groups, "component", "members", total)
 
     def measure(part: pa.RecordBatch) -> dict:
         made = [shingles(t) for t in part.column("text").to_pylist()]
         same = [hashlib.blake2b(m.tobytes(), digest_size=16).digest() == d for m, d in zip(made, part.column("digest").to_pylist())]
         keep = [k for k, s in enumerate(same) if s]
-        return {c: part.column(c).take(longs(keep)) for c in ("component", "members", "rep")} | {"hashes": list_array([made[k].view(np.int64) for k in keep], pa.int64())}
+        return {c: part.column(c).take(longs(keep)) for c in ("component", "members", "classes", "size", "rep")} | {"hashes": list_array([made[k].view(np.int64) for k in keep], pa.int64())}
 
     # Texts are shuffled once at every size: what they meet grows with them.
-    own_row = F.col("rep") == F.col(key) if key else F.col("of_id").eqNullSafe(F.col("doc_id"))
-    texts = known.hint("shuffle_hash").join(docs.select(key or "doc_id", "text"), own_row).select("component", "members", "rep", "digest", "text")
-    exact = map_rows(texts, measure, "component long, members long, rep long, hashes array<long>").dropDuplicates(["rep"])
+    own_row = F.col("rep") == F.col(key) if key else F.col("of_id").eqNullSafe(F.col("doc_id")) & (F.col("of_mark") == F.xxhash64("text"))
+    texts = known.hint("shuffle_hash").join(docs.select(key or "doc_id", "text"), own_row).select("component", "members", "classes", "size", "rep", "digest", "text")
+    exact = map_rows(texts, measure, "component long, members long, classes map<int,long>, size long, rep long, hashes array<long>").dropDuplicates(["rep"])
 
     def check(batches):
         for part in sorted_groups(batches, ["component", "bi", "bj"]):
@@ -257,7 +335,7 @@ def _classes(docs: DataFrame, threshold: float, key: str | None = None) -> DataF
                 yield pa.RecordBatch.from_arrays([longs(rep), longs(links), longs(low)], names=["rep", "links", "low"])
 
     links = materialize(
-        in_blocks(exact, "component", "members").repartition(parts, "component", "bi", "bj").sortWithinPartitions("component", "bi", "bj")
+        in_size_blocks(exact, threshold).repartition(parts, "component", "bi", "bj").sortWithinPartitions("component", "bi", "bj")
         .select("component", "bi", "bj", "block", "rep", "hashes").mapInArrow(check, "rep long, links long, low long"),
         "links",
     )

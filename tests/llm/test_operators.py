@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -222,6 +223,31 @@ def test_attributes_of_pages_are_no_labels(mark):
     assert read == ({int(mark[-2])} if mark[-2] in '01' else {-1})
 
 
+@pytest.mark.parametrize("unit", ['<a href="', "<a ", "<a '", '<a ">" ', "<!", "<?", "<!--", "<", "<b>", "</x>", "<" + "a" * 50, "<p><b>", "<li>", '<a x="<b>', "&amp", "<td><table>"])
+def test_long_broken_pages_are_read_in_linear_time(unit):
+    page = f"<body><article>{ARTICLE}</article>" + unit * 20_000
+    for end in ("", ">", '">'):
+        began = time.process_time()
+        out = html_text.blocks(page + end, html_text.default_model())
+        assert time.process_time() - began < 10
+        assert [b for b in out if b in PARTS] == PARTS
+
+
+def test_unclosed_quotes_lose_one_tag_only():
+    page = f'<body><article><p>One story, told in some words here.</p><p class="x>Two stories, told in other words.</p>{ARTICLE}</article></body>'
+    assert html_text.blocks(page.replace('"x>', '"x" title="y>'), html_text.default_model())[-3:] == PARTS
+    assert html_text.blocks(page, html_text.default_model()) == ["One story, told in some words here.", "Two stories, told in other words.", *PARTS]
+    assert html_text.blocks(f'<body><article title="a > b">{ARTICLE}</article>', html_text.default_model()) == PARTS
+
+
+def test_extraction_of_odd_tables(spark):
+    ship(spark)
+    page = f"<body><article>{ARTICLE}</article></body>"
+    frame = spark.createDataFrame([(1, "u", page * 300), (1, "u", page), (None, None, page)], "page_id long, url string, html string")
+    out = html_text.extract(frame.withColumns({"text": F.lit("x"), "n_chars": F.lit(1), "label": F.lit(2)})).collect()
+    assert sorted(r.text.count(PARTS[0]) for r in out) == [1, 1, 300] and html_text.extract(frame.limit(0)).count() == 0
+
+
 def test_formulas_and_fallbacks_are_text():
     formula = "<p>Now <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math> holds, as we see.</p>"
     page = f'<body><article>{ARTICLE}{formula}<object data="f.swf"><p>What the figure shows, in words. It is long enough.</p></object><label>A label of the text.</label></article></body>'
@@ -346,11 +372,57 @@ def test_blocks_see_every_pair_once(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     want = {r.doc_id: (r.class_id, r.n_links) for r in near_join.join(frame).collect()}
     monkeypatch.setattr(near_join, "BLOCK", 7)
+    monkeypatch.setattr(near_join, "VERIFY_BLOCK", 5)
     assert {r.doc_id: (r.class_id, r.n_links) for r in near_join.join(frame).collect()} == want
     sets, near, root = brute_classes(rows)
     assert all(want[i][1] == len(near[s]) for (i, _), s in zip(rows, sets))
 
 
+def test_sizes_part_blocks_but_no_links(spark, monkeypatch):
+    """One component whose sizes span several classes, in blocks of a few documents."""
+    ship(spark)
+    words = prose(11, 400).split()
+    rows = [(k, " ".join(words[: 60 + 5 * k])) for k in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets, near, root = brute_classes(rows)
+    want = {i: (0, len(near[s])) for (i, _), s in zip(rows, sets)}
+    assert len(set(map(id, root.values()))) == 1
+    for size in (4, 1000):
+        monkeypatch.setattr(near_join, "VERIFY_BLOCK", size)
+        assert {r.doc_id: (r.class_id, r.n_links) for r in near_join.join(frame).collect()} == want
+
+
+def test_descent_ties_what_all_pairs_tie():
+    rng = np.random.default_rng(8)
+    for n, clusters, noise in ((3, 1, 0.1), (40, 4, 0.3), (200, 3, 0.38), (60, 60, 0.0), (150, 2, 0.2)):
+        heart = rng.integers(0, 256, (clusters, 128), dtype=np.uint8)
+        sign = heart[rng.integers(0, clusters, n)]
+        sign = np.where(rng.random(sign.shape) < noise, rng.integers(0, 256, sign.shape, dtype=np.uint8), sign)
+        for tree in (0, 17):
+            group, need = near_join.descend(sign, tree, 0.6 * 128), 0.6 * 128
+            linked = (sign[:, None] == sign[None]).sum(axis=2) >= need
+            want = near_join.least_connected(linked, np.arange(n))
+            assert len(set(zip(group.tolist(), want.tolist()))) == len(set(group.tolist())) == len(set(want.tolist()))
+            half = np.arange(n) % 2
+            cross = near_join.descend(sign, tree, need, half)
+            bound = near_join.least_connected(linked & (half[:, None] != half[None]), np.arange(n))
+            assert all(len(set(cross[bound == b].tolist())) == 1 and len(set(want[cross == cross[b]].tolist())) == 1 for b in set(bound.tolist()))
+
+
+def test_labels_are_long_and_begin_with_values_of_their_own():
+    assert near_join.LABELS.shape == (near_join.TREES, 16) and sorted(near_join.LABELS[:, : near_join.OWN].ravel()) == list(range(128))
+    assert all(len(set(row)) == 16 for row in near_join.LABELS.tolist())
+
+
+def test_recall_of_candidates(spark):
+    """Pairs just above the threshold meet in the forest, against brute force."""
+    ship(spark)
+    rows = [(2 * k + j, t) for k in range(150) for j, t in enumerate((prose(3000 + k, 100), edited(edited(prose(3000 + k, 100), 20), 60)))]
+    sets, near, root = brute_classes(rows)
+    out = {r.doc_id: r.n_links for r in near_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(map(len, near.values())) == 300 and all(out[i] == len(near[s]) for (i, _), s in zip(rows, sets))
+
+
 def test_prefixes_shorten_until_the_recall_is_met():
     assert near_join.prefix_length(0.8) == 4 and near_join.prefix_length(0.5) < 4
     for t in (0.5, 0.8, 0.9):
