@@ -1,7 +1,9 @@
 """Byte-level BPE of whole texts by tree concatenation, and back.
 
-Texts of more than ``leaf_chars`` are halved until the leaves are short enough;
-leaves are encoded in parallel as rows of their own and joined in pairs. At each
+Texts of more than ``leaf_chars`` are halved until the leaves are short enough, and
+encoded leaves are joined in pairs. The leaves of texts of more than
+``spread_chars`` are rows of their own, encoded in parallel wherever there is room;
+those of others stay in the task that reads the text. At each
 join a window of pieces around it is split and encoded again, and grows until its
 borders fall together with those found on both sides. Inside one unsplit piece
 the same is done with tokens: the window grows until the pair of tokens at each
@@ -31,6 +33,8 @@ from assetlode.llm.memo import Memo
 
 #: Longer texts are cut: of the documents of the synthetic corpora 4 to 7 in 100, with 23 to 40 % of all characters.
 LEAF_CHARS = 8_192
+#: The leaves of texts longer than this are encoded by many tasks, those of others by one.
+SPREAD_CHARS = 65_536
 #: Within one piece, so many bytes are encoded at once before halves are joined.
 PIECE_LEAF = 1_024
 #: Pieces in one generation of the memo.
@@ -123,8 +127,10 @@ class ByteBpe:
             return self._split(text)
         return [p for k, part in enumerate(parts) for p in ([part] if k % 2 else self._split(part))]
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(b"".join(self.ids_of(self.pieces(t))), dtype=ID) for t in texts]
+    def encode(self, text: str, leaf_chars: int) -> np.ndarray:
+        if len(text) <= leaf_chars:
+            return np.frombuffer(b"".join(self.ids_of(self.pieces(text))), dtype=ID)
+        return self.concatenate([self.leaf(t) for t in self.halves(text, leaf_chars)]).ids
 
     def halves(self, text: str, most: int) -> list[str]:
         """Leaves of at most ``most`` characters; none begins inside an added token."""
@@ -230,14 +236,15 @@ def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def encode(docs: DataFrame, tokenizer_path: str, leaf_chars: int = LEAF_CHARS) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, leaf_chars: int = LEAF_CHARS, spread_chars: int = SPREAD_CHARS) -> DataFrame:
     """doc_id and ids (array of int) of every row of ``docs``."""
     id_type = dict(docs.dtypes)["doc_id"]
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    is_long = F.char_length("text") > leaf_chars
+    is_long = F.char_length("text") > spread_chars
 
     def whole(part: pa.RecordBatch) -> dict:
-        return {"doc_id": part.column("doc_id"), "ids": list_array(byte_bpe(tokenizer_path).encode_batch(part.column("text").to_pylist()))}
+        bpe = byte_bpe(tokenizer_path)
+        return {"doc_id": part.column("doc_id"), "ids": list_array([bpe.encode(t, leaf_chars) for t in part.column("text").to_pylist()])}
 
     def halve(part: pa.RecordBatch) -> dict:
         made = [byte_bpe(tokenizer_path).halves(t, leaf_chars) for t in part.column("text").to_pylist()]

@@ -292,8 +292,8 @@ def test_bpe(docs, path):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path["byte_bpe_50k.json"])
-    for leaf in (64, 1000, bpe.LEAF_CHARS):
-        rows = bpe.decode(bpe.encode(docs, path["byte_bpe_50k.json"], leaf), path["byte_bpe_50k.json"]).collect()
+    for leaf, spread in ((64, 64), (64, 3000), (1000, 1000), (1000, bpe.SPREAD_CHARS), (bpe.LEAF_CHARS, bpe.SPREAD_CHARS)):
+        rows = bpe.decode(bpe.encode(docs, path["byte_bpe_50k.json"], leaf, spread), path["byte_bpe_50k.json"]).collect()
         want = Counter((i, tuple(own.encode(t or "", add_special_tokens=False).ids), t or "") for i, t in ROWS)
         assert Counter((r.doc_id, tuple(r.ids), r.text) for r in rows) == want
 
