@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from assetlode.plans.staging import delete, materialize
+
 VECTOR_SCHEMA = "id string, vector array<float>, path string, channel string, file_size bigint, mtime bigint"
 KEY = ["path", "channel"]
 
@@ -52,7 +55,12 @@ def collect_garbage(entries: DataFrame, now: int, idle_days: int = 14, most_byte
 
 
 class VectorStore:
-    """Vectors as Parquet, partitioned by model; a store of another schema is written anew."""
+    """Vectors as Parquet in numbered versions by model; what has another schema doesn't count.
+
+    A part is a folder that counts once its write has ended. Appended parts join the
+    current version; a new state is written as the next version, which takes the
+    place of the old one at once, and only then are older parts deleted.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -60,23 +68,49 @@ class VectorStore:
     def path(self, model_key: str) -> str:
         return f"{self.root}/model_key={model_key}"
 
-    def read(self, model_key: str) -> DataFrame:
-        from pyspark.errors import AnalysisException
+    def parts(self, model_key: str) -> dict[int, list[str]]:
+        """The folders of each version whose write has ended."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(model_key))
+        fs = place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        out: dict[int, list[str]] = {}
+        for status in fs.listStatus(place) if fs.exists(place) else []:
+            name = status.getPath().getName()
+            if name.startswith("v") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+                out.setdefault(int(name[1:].partition("-")[0]), []).append(f"{self.path(model_key)}/{name}")
+        return out
 
+    def read(self, model_key: str) -> DataFrame:
         empty = self.spark.createDataFrame([], VECTOR_SCHEMA)
-        try:
-            found = self.spark.read.parquet(self.path(model_key))
-        except AnalysisException:
+        parts = self.parts(model_key)
+        if not parts:
             return empty
+        found = self.spark.read.parquet(*sorted(parts[max(parts)]))
         return found.select(*empty.columns) if set(empty.columns) <= set(found.columns) else empty
 
+    def _write(self, rows: DataFrame, model_key: str, version: int) -> None:
+        rows.select(*self.spark.createDataFrame([], VECTOR_SCHEMA).columns).write.parquet(f"{self.path(model_key)}/v{version}-{uuid.uuid4().hex}")
+
     def append(self, rows: DataFrame, model_key: str) -> None:
-        rows.select(*self.spark.createDataFrame([], VECTOR_SCHEMA).columns).write.mode("append").parquet(self.path(model_key))
+        self._write(rows, model_key, max(self.parts(model_key), default=0))
+
+    def replace(self, rows: DataFrame, model_key: str) -> None:
+        """``rows``, which don't read this store, become its whole state."""
+        old = self.parts(model_key)
+        self._write(rows, model_key, max(old, default=0) + 1)
+        for path in (p for paths in old.values() for p in paths):
+            delete(self.spark, path)
+
+    def put(self, rows: DataFrame, model_key: str) -> None:
+        """Add ``rows``; those that are there under the same path and channel go."""
+        rows = materialize(rows, "vectors")
+        old = self.read(model_key)
+        if old.join(rows.select(*KEY), KEY, "left_semi").isEmpty():
+            self.append(rows, model_key)
+        else:
+            self.replace(materialize(old.join(rows.select(*KEY), KEY, "left_anti").unionByName(rows.select(*old.columns)), "vectors"), model_key)
 
     def refresh(self, items: DataFrame, model_key: str, encode: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """Bring the store up to date for ``items`` and return their rows; the new state replaces the old at once."""
-        from assetlode.plans.staging import materialize
-
+        """Bring the store up to date for ``items`` and return their rows."""
         now = materialize(merge(items, self.read(model_key), encode), "vectors")
-        now.write.mode("overwrite").parquet(self.path(model_key))
+        self.replace(now, model_key)
         return now

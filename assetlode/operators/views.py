@@ -31,6 +31,10 @@ SORTS = {
 }
 
 
+#: Pages that end within so many rows come from a bounded sort instead of one of all rows.
+NEAR_ROWS = 100_000
+
+
 def positions(df: DataFrame, *order: Column) -> DataFrame:
     """``df`` with the 1-based place of each row in ``order``, from a range sort instead of one task.
 
@@ -56,7 +60,13 @@ def page(df: DataFrame, total: int, size: int, wanted: int, *order: Column) -> D
     """One page; sizes are clamped to 100..5000 and pages past the end become the last one."""
     size = max(PAGE_LEAST, min(PAGE_MOST, size))
     number = min(wanted, max(1, math.ceil(total / size)) - 1)
-    return positions(df, *order).where((F.col("place") > number * size) & (F.col("place") <= (number + 1) * size)).withColumn("page", F.lit(number).cast("bigint"))
+    last = (number + 1) * size
+    if last <= NEAR_ROWS:
+        # The best ``last`` rows of each partition are all that moves.
+        placed = df.orderBy(*order).limit(last).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    else:
+        placed = positions(df, *order)
+    return placed.where((F.col("place") > number * size) & (F.col("place") <= last)).withColumn("page", F.lit(number).cast("bigint"))
 
 
 def filtered_groups(members: DataFrame, query: str = "", least_similarity: float = 0.0, filters: tuple[str, ...] = ()) -> DataFrame:

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a private temporary one only where that is unset (tests, a laptop)."""
+    """The folder in ``spark.checkpoint.dir``; a private temporary one only where that is unset and Spark runs on one machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="assetlode-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
@@ -32,4 +34,18 @@ def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     """
     path = staging_path(df.sparkSession, label)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["staged_path"] = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``frames``, once nothing that is still to run reads them."""
+    for frame in frames:
+        if path := frame.__dict__.pop("staged_path", None):
+            delete(frame.sparkSession, path)
