@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from assetlode.functions.predicates import tags_of
 from assetlode.functions.scalars import LOADERS, max_distance
 from assetlode.operators import dups, qc
+from assetlode.plans.staging import materialize
 from assetlode.sources import scan as scanning
 
 METHODS = ("exact", "perceptual", "ai", "inventory", "qc")
-#: Probes and refinement of the approximate search presets; the exact search needs neither.
+#: Probes and refinement of the approximate search presets; similarities are exact, so nothing is left to refine.
 PRECISION = ((8, 1), (20, 3), (80, 8), (256, 20))
+INDEXED_FROM = 5_000
 SORT_COLUMNS = {"File Name": "name", "Path": "path", "Size": "size", "Format": "compression", "Dimensions": "area", "MipMaps": "mips", "Cubemap": "cubemap"}
 
 
@@ -98,15 +100,21 @@ def scan(spark: SparkSession, p: ScanParams, encoder=None) -> ScanResult:
         real = found.where("file_size > 0")
         twins = real.groupBy("file_size").count().where("count > 1").select("file_size")
         return ScanResult(groups=dups.exact_groups(scanning.content_hashes(real.join(twins, "file_size", "left_semi"))))
+    pictures = scanning.pictured(found, p.folder)
     shape = scanning.metadata(found).select("path", "width", "height", "file_size")
     if p.method == "perceptual":
-        hashed = scanning.fingerprints(expand(found, p), 5 if p.ignore_solid else None)
+        hashed = scanning.fingerprints(expand(pictures, p), 5 if p.ignore_solid else None)
         rows = hashed.withColumn("id", F.xxhash64("path", "channel")).join(shape, "path")
-        return ScanResult(groups=dups.perceptual_groups(rows, max_distance(p.similarity), p.same_channel_only), undecoded=scanning.undecoded(found))
+        return ScanResult(groups=dups.perceptual_groups(rows, max_distance(p.similarity), p.same_channel_only), undecoded=scanning.undecoded(pictures))
     from assetlode.functions.encoders import ColorEncoder, encode_files
 
     encoder = encoder or ColorEncoder()
-    vectors = encode_files(expand(found, p), encoder, p.batch_size).withColumn("id", F.xxhash64("path", "channel")).withColumnRenamed("vector", "v")
+    vectors = encode_files(expand(pictures, p), encoder, p.batch_size).withColumn("id", F.xxhash64("path", "channel")).withColumnRenamed("vector", "v")
     if p.query:
-        return ScanResult(groups=dups.search(vectors, encoder.text(p.query).tolist()), undecoded=scanning.undecoded(found))
-    return ScanResult(groups=dups.semantic_groups(vectors.drop("file_size").join(shape, "path"), p.similarity / 100, p.max_neighbors), undecoded=scanning.undecoded(found))
+        return ScanResult(groups=dups.search(vectors, encoder.text(p.query).tolist()), undecoded=scanning.undecoded(pictures))
+    vectors = materialize(vectors.drop("file_size").join(shape, "path"), "vectors")
+    # Below INDEXED_FROM rows all pairs are compared, beyond it those that meet in a cell.
+    probes = PRECISION[p.precision][0] if vectors.count() >= INDEXED_FROM else None
+    groups = dups.semantic_groups(vectors, p.similarity / 100, p.max_neighbors, probes)
+    best = groups.where("is_best").select("component", scanning.record_id(F.col("path"), F.lit("")).alias("group_id"))
+    return ScanResult(groups=groups.join(best, "component"), undecoded=scanning.undecoded(pictures))

@@ -146,34 +146,122 @@ def bgra(data: bytes, w: int, h: int) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint8, count=w * h * 4).reshape(h, w, 4)[:, :, [2, 1, 0, 3]]
 
 
+def rgba(data: bytes, w: int, h: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=np.uint8, count=w * h * 4).reshape(h, w, 4)
+
+
+def rgb(data: bytes, w: int, h: int) -> np.ndarray:
+    return np.dstack([np.frombuffer(data, dtype=np.uint8, count=w * h * 3).reshape(h, w, 3), np.full((h, w), 255, np.uint8)])
+
+
+def red(data: bytes, w: int, h: int) -> np.ndarray:
+    v = np.frombuffer(data, dtype=np.uint8, count=w * h).reshape(h, w)
+    return np.dstack([v, v, v, np.full_like(v, 255)])
+
+
+#: Bytes of a block (or of a pixel, where blocks are single pixels) and how many pixels wide one is.
+UNITS = {bc1: (8, 4), bc2: (16, 4), bc3: (16, 4), bc4: (8, 4), bc5: (16, 4), bgra: (4, 1), rgba: (4, 1), rgb: (3, 1), red: (1, 1)}
 DDS_CODES = {b"DXT1": bc1, b"DXT3": bc2, b"DXT5": bc3, b"ATI1": bc4, b"BC4U": bc4, b"ATI2": bc5, b"BC5U": bc5}
-DXGI_CODES = {70: bc1, 71: bc1, 72: bc1, 73: bc2, 74: bc2, 75: bc2, 76: bc3, 77: bc3, 78: bc3, 79: bc4, 80: bc4, 82: bc5, 83: bc5, 87: bgra, 91: bgra}
+DXGI_CODES = {28: rgba, 29: rgba, 70: bc1, 71: bc1, 72: bc1, 73: bc2, 74: bc2, 75: bc2, 76: bc3, 77: bc3, 78: bc3, 79: bc4, 80: bc4, 82: bc5, 83: bc5, 87: bgra, 91: bgra}
+VK_CODES = {9: red, 23: rgb, 29: rgb, 37: rgba, 43: rgba, 44: bgra, 50: bgra, 131: bc1, 132: bc1, 133: bc1, 134: bc1, 135: bc2, 136: bc2, 137: bc3, 138: bc3, 139: bc4, 141: bc5}
+
+
+def level_for(w: int, h: int, levels: int, target: int | None) -> int:
+    """The last level whose sides both have ``target`` pixels; the first one without a target."""
+    level = 0
+    while target and level + 1 < levels and min(w >> level + 1, h >> level + 1) >= target:
+        level += 1
+    return level
+
+
+def level_bytes(w: int, h: int, unit: int, edge: int) -> int:
+    return -(-w // edge) * -(-h // edge) * unit
 
 
-def dds(data: bytes) -> np.ndarray | None:
-    """The first level of the first face."""
+def dds(data: bytes, target: int | None = None, level: int | None = None, face: int = 0) -> np.ndarray | None:
+    """A level of a face: ``level``, or the smallest one whose sides have ``target`` pixels."""
     if data[:4] != b"DDS ":
         raise ValueError("no DDS header")
     h, w = struct.unpack_from("<II", data, 12)
     if not (0 < w <= MOST_PIXELS and 0 < h <= MOST_PIXELS):
         raise ValueError("dimensions out of range")
-    code, bits = data[84:88], struct.unpack_from("<I", data, 88)[0]
+    levels = max(1, min(struct.unpack_from("<I", data, 28)[0], max(w, h).bit_length()))
+    code, bits, at = data[84:88], struct.unpack_from("<I", data, 88)[0], 128
     if code == b"DX10":
-        dxgi = struct.unpack_from("<I", data, 128)[0]
-        if dxgi in (28, 29):
-            return np.frombuffer(data, dtype=np.uint8, count=w * h * 4, offset=148).reshape(h, w, 4)
-        return DXGI_CODES[dxgi](data[148:], w, h) if dxgi in DXGI_CODES else None
-    if code in DDS_CODES:
-        return DDS_CODES[code](data[128:], w, h)
-    if bits not in (24, 32):
+        read, at = DXGI_CODES.get(struct.unpack_from("<I", data, 128)[0]), 148
+    else:
+        read = DDS_CODES.get(code)
+    if read is None and (code == b"DX10" or bits not in (24, 32)):
         return None
-    texels = np.frombuffer(data, dtype=np.uint8, count=w * h * bits // 8, offset=128).reshape(h, w, bits // 8).astype(np.uint32)
+    unit, edge = UNITS[read] if read else (bits // 8, 1)
+    sizes = [level_bytes(max(1, w >> k), max(1, h >> k), unit, edge) for k in range(levels)]
+    level = level_for(w, h, levels, target) if level is None else level
+    if not 0 <= level < levels:
+        raise ValueError(f"no level {level}")
+    at += face * sum(sizes) + sum(sizes[:level])
+    w, h = max(1, w >> level), max(1, h >> level)
+    if read:
+        return read(data[at : at + sizes[level]], w, h)
+    texels = np.frombuffer(data, dtype=np.uint8, count=w * h * bits // 8, offset=at).reshape(h, w, bits // 8).astype(np.uint32)
     raw = sum(texels[:, :, k] << np.uint32(8 * k) for k in range(bits // 8))
     masks = struct.unpack_from("<4I", data, 92)
     part = lambda m, other: (raw & m) >> ((m & -m).bit_length() - 1) if m else np.full_like(raw, other)
     return np.stack([part(masks[0], 0), part(masks[1], 0), part(masks[2], 0), part(masks[3], 255)], axis=2).astype(np.uint8)
 
 
+def ktx2(data: bytes, target: int | None = None, level: int | None = None) -> np.ndarray | None:
+    """A level of the first layer and face, stored plain, by Zstandard or by zlib; other formats give None."""
+    code, _, w, h, _, _, _, levels, packed = struct.unpack_from("<9I", data, 12)
+    read, levels, h = VK_CODES.get(code), max(1, levels), max(1, h)
+    if read is None or packed not in (0, 2, 3):
+        return None
+    if not (0 < w <= MOST_PIXELS and h <= MOST_PIXELS):
+        raise ValueError("dimensions out of range")
+    level = level_for(w, h, levels, target) if level is None else level
+    if not 0 <= level < levels:
+        raise ValueError(f"no level {level}")
+    at, size, _ = struct.unpack_from("<3Q", data, 80 + 24 * level)
+    stored = data[at : at + size]
+    if packed:
+        stored = inflate(stored, "zstd" if packed == 2 else "zlib")
+    w, h = max(1, w >> level), max(1, h >> level)
+    if len(stored) < level_bytes(w, h, *UNITS[read]):
+        raise ValueError("too few bytes")
+    return read(stored, w, h)
+
+
+#: What turns a picture of each EXIF orientation upright.
+TURNS = {
+    2: lambda a: a[:, ::-1], 3: lambda a: a[::-1, ::-1], 4: lambda a: a[::-1], 5: lambda a: a.swapaxes(0, 1), 6: lambda a: a.swapaxes(0, 1)[:, ::-1],
+    7: lambda a: a[::-1, ::-1].swapaxes(0, 1), 8: lambda a: a.swapaxes(0, 1)[::-1],
+}
+
+
+def orientation(head: bytes) -> int:
+    """The EXIF orientation that the head of a JPEG file tells, 1 if none."""
+    at = head.find(b"Exif\0\0")
+    if at < 0 or head[at + 6 : at + 8] not in (b"II", b"MM"):
+        return 1
+    base, order = at + 6, "<" if head[at + 6 : at + 8] == b"II" else ">"
+    try:
+        first = base + struct.unpack_from(order + "I", head, base + 4)[0]
+        for k in range(struct.unpack_from(order + "H", head, first)[0]):
+            tag, _, _, value = struct.unpack_from(order + "HHIH", head, first + 2 + 12 * k)
+            if tag == 0x0112:
+                return value if 1 <= value <= 8 else 1
+    except struct.error:
+        pass
+    return 1
+
+
+def jvm_picture(data: bytes) -> np.ndarray:
+    """Pixels that the JVM decoded (gray, BGR or BGRA), and the file's head for its orientation."""
+    w, h, n = struct.unpack_from(">3I", data, 4)
+    v = np.frombuffer(data, dtype=np.uint8, count=w * h * n, offset=16).reshape(h, w, n)
+    image = red(v.tobytes(), w, h) if n == 1 else np.dstack([v[:, :, 2], v[:, :, 1], v[:, :, 0], v[:, :, 3] if n == 4 else np.full((h, w), 255, np.uint8)])
+    return TURNS.get(orientation(data[16 + w * h * n :]), lambda a: a)(image)
+
+
 def _unfilter(raw: np.ndarray, n: int) -> np.ndarray:
     """Lines of a PNG pass, each led by its filter; ``n`` bytes a pixel."""
     h, width = raw.shape[0], raw.shape[1] - 1
@@ -320,13 +408,21 @@ def bmp(data: bytes) -> np.ndarray | None:
     return image[::-1] if flip else image
 
 
-def decode(path: str, data: bytes) -> np.ndarray | None:
-    """A raster, or None where there is no decoder for the bytes."""
+def decode(path: str, data: bytes, target: int | None = None, level: int | None = None) -> np.ndarray | None:
+    """A raster, or None where there is no decoder for the bytes.
+
+    Of files with mipmaps it is ``level``, or the smallest level whose sides have
+    ``target`` pixels, or the first.
+    """
     try:
         if data[:4] == b"qoif":
             return qoi(data)
         if data[:4] == b"DDS ":
-            return dds(data)
+            return dds(data, target, level)
+        if data[:12] == b"\xabKTX 20\xbb\r\n\x1a\n":
+            return ktx2(data, target, level)
+        if data[:4] == b"JIMG" and extension_of(path) in ("jpg", "jpeg", "gif"):
+            return jvm_picture(data)
         if data[:8] == b"\x89PNG\r\n\x1a\n":
             return png(data)
         if data[:2] == b"BM" and extension_of(path) == "bmp":
@@ -335,7 +431,7 @@ def decode(path: str, data: bytes) -> np.ndarray | None:
             return tga(data)
         if extension_of(path) in ("gz", "svgz"):
             return None
-    except (ValueError, IndexError, KeyError, struct.error, zlib.error):
+    except (ValueError, IndexError, KeyError, struct.error, zlib.error, OverflowError, MemoryError):
         return None
     return None
 

@@ -11,13 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlode.functions.predicates import has_extension, in_excluded_folder
-from assetlode.functions.scalars import decode_uri
+from assetlode.functions.scalars import decode_uri, extension, file_name
 from assetlode.plans.shipping import ship
 from assetlode.sources.decoders import decode, perceptual_hash
 from assetlode.sources.headers import SCHEMA, probe
 
-#: How much of a file its header can need, by extension; others are read whole.
-HEAD_BYTES = {"heic": 64 << 10, "heif": 64 << 10}
+#: How much of a file its header can need, by extension; others go whole to the parser.
+HEAD_BYTES = (
+    dict.fromkeys("dds astc atc pvr psd qoi crn bmp tga gif".split(), 4 << 10) | dict.fromkeys("ktx2 basis heic heif hdr webp".split(), 64 << 10)
+    | dict.fromkeys("png jpg jpeg exr".split(), 1 << 20)
+)
+#: The smallest level of a picture with mipmaps that fingerprints are taken from has at least so many pixels a side.
+PREVIEW = 256
+#: Formats that the JVM decodes.
+JVM_PICTURES = ("jpg", "jpeg", "gif")
+
+
+def plain_path(path: F.Column) -> F.Column:
+    """A path as the file system has it, of the URI that Spark's listing gives."""
+    return decode_uri(F.regexp_replace(path, "^file:/+", "/"))
 
 
 def check_root(root: str) -> str:
@@ -33,7 +45,7 @@ def files(spark: SparkSession, root: str, extensions: list[str], excluded: list[
     Without ``contents`` no file is opened: the columns come from the listing.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(check_root(root))
-    own = raw.select(decode_uri(F.regexp_replace("path", "^file:/+", "/")).alias("path"), F.coalesce("length", F.lit(0)).alias("file_size"),
+    own = raw.select(plain_path(F.col("path")).alias("path"), F.coalesce("length", F.lit(0)).alias("file_size"),
                      F.unix_seconds("modificationTime").alias("mtime"), *(["content"] if contents else []))
     return own.where(has_extension(F.col("path"), list(extensions)) & ~in_excluded_folder(F.col("path"), list(excluded)))
 
@@ -62,7 +74,27 @@ def metadata(found: DataFrame) -> DataFrame:
             yield pd.DataFrame({"path": pdf["path"], "mtime": pdf["mtime"]}).join(pd.DataFrame(rows, index=pdf.index))
 
     ship(found.sparkSession)
-    return found.select("path", "file_size", "mtime", "content").mapInPandas(run, f"path string, mtime bigint, {SCHEMA}")
+    # Only the head of a file leaves the JVM where the header is there.
+    bound = F.create_map(*[F.lit(x) for pair in HEAD_BYTES.items() for x in pair])
+    most = F.coalesce(F.try_element_at(bound, extension(file_name(F.col("path")))), F.lit((1 << 31) - 1))
+    heads = found.select("path", "file_size", "mtime", F.substring(F.col("content"), F.lit(1), most).alias("content"))
+    return heads.mapInPandas(run, f"path string, mtime bigint, {SCHEMA}")
+
+
+def pictured(found: DataFrame, root: str) -> DataFrame:
+    """``found`` with the content of JPEG and GIF files replaced by their pixels, which the JVM decodes, and the head of the file.
+
+    Files that it can't decode stay as they are.
+    """
+    spark = found.sparkSession
+    names = "*.{" + ",".join(x for e in JVM_PICTURES for x in (e, e.upper())) + "}"
+    images = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).option("pathGlobFilter", names).load(check_root(root))
+    four = lambda c: F.unhex(F.lpad(F.hex(F.col(f"image.{c}")), 8, "0"))
+    pixels = images.select(plain_path(F.col("image.origin")).alias("path"), F.concat(F.lit(b"JIMG"), four("width"), four("height"), four("nChannels"), "image.data").alias("pixels"))
+    own = found.where(has_extension(F.col("path"), list(JVM_PICTURES))).join(pixels, "path", "left")
+    head = F.substring(F.col("content"), F.lit(1), F.lit(64 << 10))
+    own = own.withColumn("content", F.when(F.col("pixels").isNotNull(), F.concat("pixels", head)).otherwise(F.col("content"))).drop("pixels")
+    return found.where(~has_extension(F.col("path"), list(JVM_PICTURES))).unionByName(own)
 
 
 def content_hashes(found: DataFrame) -> DataFrame:
@@ -96,7 +128,7 @@ def fingerprints(found: DataFrame, least_range: int | None = None) -> DataFrame:
         for pdf in batches:
             out = []
             for path, own, content in zip(pdf["path"], pdf["channel"], pdf["content"]):
-                image = decode(path, bytes(content))
+                image = decode(path, bytes(content), PREVIEW)
                 h = None if image is None else perceptual_hash(image, own, least_range)
                 if h is not None:
                     out.append((path, own, h))
@@ -111,7 +143,7 @@ def undecoded(found: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def reason(paths: pd.Series, contents: pd.Series) -> pd.Series:
-        return pd.Series([None if decode(p, bytes(c)) is not None else "no decoder for the pixels, or a damaged file" for p, c in zip(paths, contents)], dtype=object)
+        return pd.Series([None if decode(p, bytes(c), 9) is not None else "no decoder for the pixels, or a damaged file" for p, c in zip(paths, contents)], dtype=object)
 
     ship(found.sparkSession)
     return found.select("path", reason("path", "content").alias("reason")).where("reason is not null")

@@ -14,10 +14,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from assetlode import cli
 from assetlode.functions import encoders
 from assetlode.functions.scalars import decode_uri, max_distance
 from assetlode.operators import actions, cache, dups, pairs, views
-from assetlode.operators.components import connected_components
+from assetlode.operators.components import connected_components, least_of_components
+from assetlode.operators.pairs import cell_pairs, cosine_pairs, hamming_edges
+from assetlode.operators.skew import rank_in_groups
 from assetlode.plans.params import ScanParams, scan
 from assetlode.sources import decoders, headers, scan as scanning
 from assetlode.streaming.ingest import ingest
@@ -303,6 +306,133 @@ def test_vector_store_and_stream(spark, folder, tmp_path):
     assert store.read("nothing_here").count() == 0
 
 
+def test_changed_files_take_the_place_of_old_rows(spark, folder, tmp_path):
+    encoder = encoders.ColorEncoder()
+    store = cache.VectorStore(spark, f"file://{tmp_path}/store")
+    encode = lambda rows: encoders.encode_files(rows, encoder).selectExpr("concat(path, channel) id", "vector", "path", "channel", "file_size", "mtime")
+    run = lambda n: ingest(spark, folder, store, "k", encode, f"file://{tmp_path}/checkpoint{n}", ["png"]).awaitTermination()
+    run(1)
+    before = {r.path: r.file_size for r in store.read("k").collect()}
+    listed = {r.path for r in scanning.files(spark, folder, ["png"]).collect()}
+    assert set(before) == listed
+    changed = os.path.join(folder, "other.png")
+    with open(changed, "wb") as f:
+        f.write(png(np.zeros((9, 9, 4), np.uint8) + 255))
+    os.utime(changed, (2_000_000_000, 2_000_000_000))
+    run(1)
+    assert {r.path: r.file_size for r in store.read("k").collect()} == before
+    run(2)
+    rows = store.read("k").collect()
+    assert len(rows) == len(before) and {r.path: r.file_size for r in rows}[changed] == os.path.getsize(changed)
+    assert list(store.parts("k")) == [1]
+    # a part whose write hasn't ended doesn't count
+    os.makedirs(f"{tmp_path}/store/model_key=k/v9-half")
+    assert store.read("k").count() == len(rows)
+
+
+def test_ranks_in_hot_groups(spark):
+    rows = spark.range(1000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('g', id % 50) END AS g", "id % 7 AS v", "id").repartition(5)
+    want = {(r.id, r["rank"], r.members) for r in rank_in_groups(rows, "g", F.desc("v"), F.col("id")).collect()}
+    assert {(r.id, r["rank"], r.members) for r in rank_in_groups(rows, "g", F.desc("v"), F.col("id"), most=20).collect()} == want
+    assert len(want) == 1000 and max(m for _, _, m in want) == 334
+
+
+def test_equal_hashes_are_tied_by_stars(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, 0 if k % 3 == 0 else int(rng.integers(0, 1 << 62)) if k % 3 == 1 else (1 << int(rng.integers(0, 60))), "RG"[k % 2]) for k in range(300)]
+    frame = spark.createDataFrame(rows, "id long, h long, channel string").repartition(4)
+    for same in ((), ("channel",)):
+        edges = hamming_edges(frame, 2, *same)
+        assert edges.count() < 300 * 300 / 20
+        found = {r.node: r.component for r in connected_components(edges, "a", "b").collect()}
+        ids, h, c = zip(*rows)
+        close = np.array([[(bin(a ^ b).count("1") <= 2) and (not same or x == y) for b, y in zip(h, c)] for a, x in zip(h, c)])
+        _, label = least_of_components(*[np.concatenate([x, np.arange(300)]) for x in np.nonzero(close)])
+        assert all(found.get(i, i) == label[i] for i in ids)
+
+
+def test_components_of_stars_paths_and_cliques(spark):
+    edges = [(0, k) for k in range(1, 400)] + [(k, k + 1) for k in range(1000, 1400)] + [(2000 + a, 2000 + b) for a in range(12) for b in range(a)] + [(7, 7)]
+    frame = spark.createDataFrame(edges, "src long, dst long").repartition(7)
+    found = {r.node: r.component for r in connected_components(frame).collect()}
+    assert found == {k: 0 for k in range(400)} | {k: 1000 for k in range(1000, 1401)} | {2000 + k: 2000 for k in range(12)}
+
+
+def test_cells_find_nearly_all_pairs(spark):
+    rng = np.random.default_rng(1)
+    centre = rng.standard_normal((60, 16))
+    v = centre[rng.integers(0, 60, 1500)] + 0.35 * rng.standard_normal((1500, 16))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    frame = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<float>").repartition(4)
+    exact = {(r.a, r.b): r.similarity for r in cosine_pairs(frame, 0.9).collect()}
+    for probes, least in ((8, 0.95), (20, 0.99)):
+        near = {(r.a, r.b): r.similarity for r in cell_pairs(frame, 0.9, probes).collect()}
+        assert set(near) <= set(exact) and len(near) >= least * len(exact) > 1000
+        assert all(abs(s - exact[p]) < 1e-9 for p, s in near.items())
+    assert cell_pairs(frame.limit(0), 0.9, 8).count() == 0
+
+
+def test_command_line(spark, folder):
+    said: list[str] = []
+    assert cli.main(["--scan-exact", folder], spark, said.append) == 0
+    assert said[-1] == "1 duplicate groups" and sum("72x72" in x for x in said) == 2
+    said.clear()
+    assert cli.main(["--scan-qc", folder, "--check-block"], spark, said.append) == 0
+    assert any("t.dds" in x and "Block" in x for x in said) and not any("Mipmaps" in x for x in said)
+    assert cli.main(["--scan-exact", folder + "/nowhere"], spark, said.append) == 1
+
+
+def test_levels_of_dds_and_ktx2():
+    block = struct.pack("<HHI", 0xF800, 0x001F, 0)
+    other = struct.pack("<HHI", 0x001F, 0, 0)
+    head = bytearray(dds(8, 8, b"DXT1", payload=block * 4 + other + other + other))
+    struct.pack_into("<I", head, 28, 4)
+    data = bytes(head)
+    assert decoders.decode("a.dds", data).shape == (8, 8, 4) and decoders.decode("a.dds", data, target=4)[0, 0].tolist() == [0, 0, 255, 255]
+    assert decoders.decode("a.dds", data, level=2).shape == (2, 2, 4) and decoders.decode("a.dds", data, level=9) is None
+    pixels = np.arange(4 * 2 * 4, dtype=np.uint8).tobytes()
+    small = bytes([9, 8, 7, 6] * 2)
+    import zstandard
+
+    for packed, pack in ((0, bytes), (2, zstandard.compress), (3, zlib.compress)):
+        parts = [pack(pixels), pack(small)]
+        start = 80 + 48
+        index = struct.pack("<3Q", start, len(parts[0]), 32) + struct.pack("<3Q", start + len(parts[0]), len(parts[1]), 8)
+        data = b"\xabKTX 20\xbb\r\n\x1a\n" + struct.pack("<9I", 37, 1, 4, 2, 0, 0, 1, 2, packed) + bytes(32) + index + b"".join(parts)
+        assert decoders.decode("a.ktx2", data).tobytes() == pixels and decoders.decode("a.ktx2", data, level=1).tolist() == [[[9, 8, 7, 6]] * 2]
+        assert decoders.decode("a.ktx2", data[:-3], level=1) is None
+
+
+def test_jpeg_and_gif_pixels(spark, tmp_path):
+    """Written by the JVM, read through its decoder, turned by EXIF."""
+    jvm = spark._jvm
+    image = jvm.java.awt.image.BufferedImage(24, 16, 1)
+    for y in range(16):
+        for x in range(24):
+            image.setRGB(x, y, 0xFF0000 if x < 12 else 0x0000FF)
+    ramp = jvm.java.awt.image.BufferedImage(24, 16, 1)
+    for y in range(16):
+        for x in range(24):
+            ramp.setRGB(x, y, (250 - 10 * x) * 0x010101)
+    for name, picture in (("a.jpg", image), ("b.gif", image), ("c.jpg", ramp), ("d.gif", ramp)):
+        jvm.javax.imageio.ImageIO.write(picture, name[2:], jvm.java.io.File(f"{tmp_path}/{name}"))
+    plain = (tmp_path / "a.jpg").read_bytes()
+    exif = b"Exif\0\0MM\0*" + struct.pack(">IHHHIHH", 8, 1, 0x0112, 3, 1, 6, 0) + bytes(4)
+    (tmp_path / "turned.jpg").write_bytes(plain[:2] + b"\xff\xe1" + struct.pack(">H", len(exif) + 2) + exif + plain[2:])
+    (tmp_path / "broken.jpg").write_bytes(plain[:30])
+    found = scanning.files(spark, str(tmp_path), ["jpg", "gif"], contents=True)
+    rows = {os.path.basename(r.path): decoders.decode(r.path, bytes(r.content)) for r in scanning.pictured(found, str(tmp_path)).collect()}
+    assert rows["broken.jpg"] is None and rows["turned.jpg"].shape == (24, 16, 4)
+    for name in ("a.jpg", "b.gif"):
+        assert rows[name].shape == (16, 24, 4) and np.abs(rows[name][3, 3].astype(int) - [255, 0, 0, 255]).max() < 12 and rows[name][3, 20, 2] > 240
+    assert rows["turned.jpg"][3, 3, 0] > 240 and rows["turned.jpg"][20, 3, 2] > 240
+    result = scan(spark, ScanParams(folder=str(tmp_path), method="perceptual", extensions=("jpg", "gif"), similarity=95.0))
+    assert {os.path.basename(r.path) for r in result.groups.collect()} >= {"c.jpg", "d.gif"}
+    assert [os.path.basename(r.path) for r in result.undecoded.collect()] == ["broken.jpg"]
+    sizes = {os.path.basename(r.path): (r.width, r.height) for r in scanning.metadata(found).collect()}
+    assert sizes["a.jpg"] == (24, 16)
+
+
 def test_encoder_plug_in():
     spec = encoders.MODELS["dinov2"]
     image = np.random.default_rng(0).integers(0, 256, (30, 50, 4)).astype(np.uint8)
