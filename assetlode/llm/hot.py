@@ -1,29 +1,14 @@
-"""Looking rows up by a key of which one value may hold a third of all rows, and keeping rows by a key of their own."""
+"""Looking rows up by a key of which one value may hold a third of all rows (``lookup``), and keeping rows by a key of their own."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assetlode.operators.skew import lookup
 from assetlode.plans.staging import materialize
 
-#: A key with more than this share of the rows is hot; there are at most 1/HOT_SHARE of them.
-HOT_SHARE = 1 / 1000
-
-
-def lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """``rows`` inner-joined with ``groups`` (one row per key, its number of rows in ``size``).
-
-    Hot keys go through a broadcast of at most 1/HOT_SHARE rows, all others
-    through an ordinary join, so no task gathers the rows of a hot key.
-    """
-    heavy = groups.where(F.col(size) > max(1.0, total * HOT_SHARE))
-    marks = F.broadcast(heavy.select(key, F.lit(True).alias("__hot")))
-    marked = rows.join(marks, key, "left")
-    hot = marked.where(F.col("__hot")).join(F.broadcast(heavy), key)
-    rest = marked.where(F.col("__hot").isNull()).join(groups, key)
-    return hot.unionByName(rest).drop("__hot")
-
+__all__ = ["keyed", "lookup", "only_rows"]
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` written once with a key for each row, which stays the same whenever it is read, and the key's name."""
