@@ -22,7 +22,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlode.llm.hot import keyed, lookup, only_rows
+from assetlode.llm.hot import lookup, only_one_of_each, row_mark
 from assetlode.plans.staging import materialize, staging_path
 
 WHITE_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -99,11 +99,11 @@ def deduplicate(docs: DataFrame, index: DigestIndex, batch: str = "batch") -> Da
     )
 
 
-def _verdicts(docs: DataFrame, index: DigestIndex, batch: str, row: str | None = None) -> DataFrame:
-    """Rows with the verdict on their digest; with the name of a row key, also that key and, as ``keep_row``, the one row of each digest that stays."""
+def _verdicts(docs: DataFrame, index: DigestIndex, batch: str, marked: bool = False) -> DataFrame:
+    """Rows with the verdict on their digest; if ``marked``, also the row's mark and, as ``keep_mark``, that of the row of its digest that stays."""
     rows = materialize(
         docs.select(
-            *([F.col(row).alias("row")] if row else []),
+            *([row_mark().alias("mark")] if marked else []),
             "doc_id",
             F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"),
             F.coalesce(F.char_length("text"), F.lit(0)).alias("n_chars"),
@@ -111,9 +111,9 @@ def _verdicts(docs: DataFrame, index: DigestIndex, batch: str, row: str | None =
         "digests",
     )
     rank = [(-F.col("n_chars")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c")]
-    best = F.min(F.struct(*rank, *([F.col("row").alias("d")] if row else [])))
-    keep_row = [best.getField("d").alias("keep_row")] if row else []
-    groups = materialize(rows.groupBy("digest").agg(best.getField("c").alias("keep_id"), *keep_row, F.count(F.lit(1)).alias("n_rows")), "digest-groups")
+    best = F.min(F.struct(*rank, *([F.col("mark").alias("d")] if marked else [])))
+    keep_mark = [best.getField("d").alias("keep_mark")] if marked else []
+    groups = materialize(rows.groupBy("digest").agg(best.getField("c").alias("keep_id"), *keep_mark, F.count(F.lit(1)).alias("n_rows")), "digest-groups")
 
     index.open(dict(docs.dtypes)["doc_id"])
     number, begun = index.number(batch)
@@ -134,8 +134,8 @@ def _verdicts(docs: DataFrame, index: DigestIndex, batch: str, row: str | None =
         F.max(F.when(F.col("number") == number, F.col("n_rows"))).alias("n_rows"),
     )
     verdicts = stored.where("n_rows is not null").withColumn("old", F.col("first") < number).drop("first")
-    if row:
-        verdicts = verdicts.hint("merge").join(groups.select("digest", "keep_row"), "digest")
+    if marked:
+        verdicts = verdicts.hint("merge").join(groups.select("digest", "keep_mark"), "digest")
     verdicts = materialize(verdicts, "digest-verdicts")
     if index.private:
         index.close()
@@ -144,6 +144,6 @@ def _verdicts(docs: DataFrame, index: DigestIndex, batch: str, row: str | None =
 
 def keep_first_copies(docs: DataFrame, index: DigestIndex | None = None, batch: str = "batch") -> DataFrame:
     """``docs`` with one row for each text that earlier batches of ``index`` don't have, whatever the doc_ids; all columns stay."""
-    rows, key = keyed(docs)
-    kept = _verdicts(rows, index or DigestIndex(docs.sparkSession), batch, key).where(~F.col("old") & (F.col("row") == F.col("keep_row")))
-    return only_rows(rows, materialize(kept.select(F.col("row").alias(key)), "kept-rows"), key)
+    found = _verdicts(docs, index or DigestIndex(docs.sparkSession), batch, marked=True)
+    winners = found.where(~F.col("old") & (F.col("mark") == F.col("keep_mark"))).select("mark").distinct()
+    return only_one_of_each(docs, found.select("mark"), winners)

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetlode.llm.arrow import lists, list_array, longs, map_rows, sorted_groups
-from assetlode.llm.hot import keyed, lookup, only_rows
+from assetlode.llm.hot import MARK, lookup, only_one_of_each, row_mark
 from assetlode.operators.components import connected_components
 from assetlode.plans.staging import materialize
 
@@ -112,8 +112,8 @@ def prefixes(low: np.ndarray, length: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketch(docs: DataFrame, length: int, key: str | None = None) -> DataFrame:
-    """row (of the column ``key``, if given), doc_id, mark (a hash of the text), digest of the shingle set, its size, bytes of the signature, prefixes."""
+def sketch(docs: DataFrame, length: int) -> DataFrame:
+    """row, doc_id, mark (of doc_id and text), digest of the shingle set, its size, bytes of the signature, prefixes."""
     id_type = dict(docs.dtypes)["doc_id"]
 
     def run(part: pa.RecordBatch) -> dict:
@@ -129,8 +129,8 @@ def sketch(docs: DataFrame, length: int, key: str | None = None) -> DataFrame:
         return {"row": part.column("row"), "doc_id": part.column("doc_id"), "mark": part.column("mark"), "digest": pa.array(digests, pa.binary()), "size": longs(sizes),
                 "sign": pa.array(signs, pa.binary()), "prefixes": list_array(keys, pa.int64())}
 
-    source = docs.select((F.col(key) if key else F.monotonically_increasing_id()).alias("row"), "doc_id", F.xxhash64("text").alias("mark"), "text")
-    return map_rows(source, run, f"row long, doc_id {id_type}, mark long, digest binary, size long, sign binary, prefixes array<long>")
+    source = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", row_mark().alias("mark"), "text")
+    return map_rows(source, run, f"row long, doc_id {id_type}, mark {MARK}, digest binary, size long, sign binary, prefixes array<long>")
 
 
 def least_connected(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -155,18 +155,31 @@ def agreeing(a: np.ndarray, b: np.ndarray, need: float) -> np.ndarray:
     return (a == b).sum(axis=-1) >= need
 
 
-def descend(sign: np.ndarray, tree: int, need: float, block: np.ndarray | None = None) -> np.ndarray:
-    """A group number for each document of a trie node: those tied by signatures that agree in ``need`` values.
+def chains(own: np.ndarray, need: float) -> np.ndarray:
+    """A number for each row of a sorted run: neighbours that agree, which share the deepest prefixes, have the same."""
+    return np.concatenate([[0], np.cumsum(~agreeing(own[1:], own[:-1], need))])
 
-    With ``block``, pairs within one block may be left out: they meet elsewhere.
+
+def descend(sign: np.ndarray, tree: int, need: float, block: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each document of a trie node its chain and its group: what is tied by signatures that agree in ``need`` values.
+
+    With ``block``, which has two values, chains are within blocks and only pairs
+    between blocks tie them: pairs within a block meet elsewhere.
     """
     order = np.lexsort(sign[:, LABELS[tree][::-1]].T)
     own = sign[order]
-    # The deepest prefixes are those of neighbours.
-    near = agreeing(own[1:], own[:-1], need)
-    group = np.concatenate([[0], np.cumsum(~near)])
-    count = int(group[-1]) + 1
-    root = list(range(count))
+    if block is None:
+        chain, ties = chains(own, need), []
+    else:
+        blocks = block[order]
+        sides = [np.flatnonzero(blocks == b) for b in np.unique(blocks)]
+        chain, count = np.empty(len(own), dtype=np.int64), 0
+        for side in sides:
+            chain[side] = chains(own[side], need) + count
+            count = int(chain[side[-1]]) + 1
+        next_to = agreeing(own[1:], own[:-1], need) & (blocks[1:] != blocks[:-1])
+        ties = list(zip(chain[:-1][next_to].tolist(), chain[1:][next_to].tolist()))
+    root = list(range(int(chain.max()) + 1))
 
     def find(g: int) -> int:
         while root[g] != g:
@@ -174,37 +187,50 @@ def descend(sign: np.ndarray, tree: int, need: float, block: np.ndarray | None =
             g = root[g]
         return g
 
-    if count > 1:
+    for i, j in set(ties):
+        root[find(i)] = find(j)
+    group = np.array([find(g) for g in range(len(root))])[chain]
+    if (group != group[0]).any():
         # Down to the node's own prefix: all that isn't in the largest group meets every other one.
         apart = np.flatnonzero(group != np.bincount(group).argmax())
-        blocks = block[order] if block is not None else None
         for at in range(0, len(apart), 32):
             rows = apart[at : at + 32]
             met = agreeing(own[rows, None, :], own[None, :, :], need) & (group[rows, None] != group[None, :])
-            if blocks is not None:
+            if block is not None:
                 met &= blocks[rows, None] != blocks[None, :]
-            for i, j in set(zip(*(x.tolist() for x in (group[rows][met.nonzero()[0]], group[met.nonzero()[1]])))):
-                root[find(i)] = find(j)
-    out = np.empty(len(sign), dtype=np.int64)
-    out[order] = np.array([find(g) for g in range(count)])[group]
-    return out
+            i, j = met.nonzero()
+            for a, b in set(zip(chain[rows][i].tolist(), chain[j].tolist())):
+                root[find(a)] = find(b)
+        group = np.array([find(g) for g in range(len(root))])[chain]
+    out = np.empty((2, len(sign)), dtype=np.int64)
+    out[:, order] = chain, group
+    return out[0], out[1]
+
+
+def stars(ids: np.ndarray, group: np.ndarray) -> list[tuple[int, int]]:
+    """An edge from the least id of each group to each other one of it."""
+    order = np.lexsort((ids, group))
+    ids, group = ids[order], group[order]
+    first = np.concatenate([[True], group[1:] != group[:-1]])
+    low = ids[np.flatnonzero(first)][np.cumsum(first) - 1]
+    return list(zip(low[~first].tolist(), ids[~first].tolist()))
 
 
 def may_link(part: pa.RecordBatch, least: float) -> list[tuple[int, int]]:
-    """A star of edges for each group of documents whose signatures agree enough."""
+    """Edges for each group of documents whose signatures agree enough: a star of them, or of chains' firsts between two blocks."""
     rep = part.column("rep").to_numpy()
     if len(rep) < 2:
         return []
     sign = np.frombuffer(b"".join(part.column("sign").to_pylist()), dtype=np.uint8).reshape(len(rep), -1)
-    need = least * sign.shape[1]
-    if len(rep) == 2:
-        return [(int(rep.min()), int(rep.max()))] if agreeing(sign[0], sign[1], need) else []
-    cross = part.column("bi")[0].as_py() != part.column("bj")[0].as_py()
-    group = descend(sign, part.column("tree")[0].as_py(), need, part.column("block").to_numpy() if cross else None)
-    order = np.lexsort((rep, group))
-    first = np.concatenate([[True], group[order][1:] != group[order][:-1]])
-    low = rep[order][np.flatnonzero(first)][np.cumsum(first) - 1]
-    return [(int(a), int(b)) for a, b in zip(low, rep[order]) if a != b]
+    need, tree = least * sign.shape[1], part.column("tree")[0].as_py()
+    if part.column("bi")[0].as_py() == part.column("bj")[0].as_py():
+        if len(rep) == 2:
+            return [(int(rep.min()), int(rep.max()))] if agreeing(sign[0], sign[1], need) else []
+        return stars(rep, descend(sign, tree, need)[1])
+    chain, group = descend(sign, tree, need, part.column("block").to_numpy())
+    order = np.lexsort((rep, chain))
+    first = order[np.concatenate([[True], chain[order][1:] != chain[order][:-1]])]
+    return stars(rep[first], group[first])
 
 
 def in_size_blocks(members: DataFrame, threshold: float) -> DataFrame:
@@ -274,10 +300,10 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         "doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"), F.col("copies").cast("long").alias("copies"), F.col("class_size").cast("long").alias("class_size"))
 
 
-def _classes(docs: DataFrame, threshold: float, key: str | None = None) -> DataFrame:
-    """Each row with its class, a number that is the class's own also where its class id is null or stands for other texts too; ``key`` names a row key of ``docs``."""
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """Each row, with its mark, and its class, a number that is the class's own also where its class id is null or stands for other texts too."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sketches = materialize(sketch(docs, prefix_length(threshold), key), "sketches", compression="zstd")
+    sketches = materialize(sketch(docs, prefix_length(threshold)), "sketches", compression="zstd")
     total = sketches.count()
 
     # One representative for each shingle set
@@ -307,7 +333,7 @@ def _classes(docs: DataFrame, threshold: float, key: str | None = None) -> DataF
         .mapInArrow(meet, "src long, dst long").distinct()
     )
     near = connected_components(candidates)
-    nodes = near.withColumnRenamed("node", "rep").join(reps.select("rep", F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"), "digest", "size"), "rep")
+    nodes = near.withColumnRenamed("node", "rep").join(reps.select("rep", F.col("mark").alias("of_mark"), "digest", "size"), "rep")
     nodes = materialize(nodes, "candidates")
     classes = nodes.groupBy("component", size_class(F.col("size"), threshold).alias("class")).agg(F.count(F.lit(1)).alias("n"))
     # A component has as many classes as sizes have orders of magnitude.
@@ -324,8 +350,8 @@ def _classes(docs: DataFrame, threshold: float, key: str | None = None) -> DataF
         return {c: part.column(c).take(longs(keep)) for c in ("component", "members", "classes", "size", "rep")} | {"hashes": list_array([made[k].view(np.int64) for k in keep], pa.int64())}
 
     # Texts are shuffled once at every size: what they meet grows with them.
-    own_row = F.col("rep") == F.col(key) if key else F.col("of_id").eqNullSafe(F.col("doc_id")) & (F.col("of_mark") == F.xxhash64("text"))
-    texts = known.hint("shuffle_hash").join(docs.select(key or "doc_id", "text"), own_row).select("component", "members", "classes", "size", "rep", "digest", "text")
+    texts = known.withColumnRenamed("of_mark", "mark").hint("shuffle_hash").join(docs.select(row_mark().alias("mark"), "text"), "mark")
+    texts = texts.select("component", "members", "classes", "size", "rep", "digest", "text")
     exact = map_rows(texts, measure, "component long, members long, classes map<int,long>, size long, rep long, hashes array<long>").dropDuplicates(["rep"])
 
     def check(batches):
@@ -350,11 +376,11 @@ def _classes(docs: DataFrame, threshold: float, key: str | None = None) -> DataF
     own = materialize(own, "set-classes")
     whole = own.groupBy("class").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("sets"))
     verdict = materialize(lookup(own, whole, "class", "sets", total), "set-verdicts")
-    return lookup(sketches.select("row", "doc_id", "digest"), verdict, "digest", "copies", total)
+    return lookup(sketches.select("row", "doc_id", "mark", "digest"), verdict, "digest", "copies", total)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each class, the first under the class id; all columns stay."""
-    rows, key = keyed(docs)
-    first = _classes(rows, threshold, key).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class").agg(F.min("row").alias(key))
-    return only_rows(rows, materialize(first.select(key), "kept-rows"), key)
+    found = _classes(docs, threshold)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class").agg(F.min(F.struct("row", "mark")).getField("mark").alias("mark"))
+    return only_one_of_each(docs, found.select("mark"), first.select("mark").distinct())

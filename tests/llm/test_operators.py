@@ -398,15 +398,23 @@ def test_descent_ties_what_all_pairs_tie():
         heart = rng.integers(0, 256, (clusters, 128), dtype=np.uint8)
         sign = heart[rng.integers(0, clusters, n)]
         sign = np.where(rng.random(sign.shape) < noise, rng.integers(0, 256, sign.shape, dtype=np.uint8), sign)
+        need = 0.6 * 128
+        want = near_join.least_connected((sign[:, None] == sign[None]).sum(axis=2) >= need, np.arange(n))
+        ids, block = rng.permutation(n), np.arange(n) % 2
         for tree in (0, 17):
-            group, need = near_join.descend(sign, tree, 0.6 * 128), 0.6 * 128
-            linked = (sign[:, None] == sign[None]).sum(axis=2) >= need
-            want = near_join.least_connected(linked, np.arange(n))
+            chain, group = near_join.descend(sign, tree, need)
             assert len(set(zip(group.tolist(), want.tolist()))) == len(set(group.tolist())) == len(set(want.tolist()))
-            half = np.arange(n) % 2
-            cross = near_join.descend(sign, tree, need, half)
-            bound = near_join.least_connected(linked & (half[:, None] != half[None]), np.arange(n))
-            assert all(len(set(cross[bound == b].tolist())) == 1 and len(set(want[cross == cross[b]].tolist())) == 1 for b in set(bound.tolist()))
+            edges = []
+            for bi, bj in ((0, 0), (0, 1), (1, 1)):
+                own = np.flatnonzero((block == bi) | (block == bj))
+                columns = {"rep": ids[own], "sign": [sign[k].tobytes() for k in own], "tree": [tree] * len(own), "block": block[own], "bi": [bi] * len(own), "bj": [bj] * len(own)}
+                edges.append(near_join.may_link(pa.RecordBatch.from_pydict(columns), 0.6))
+            label = np.arange(n)
+            for _ in range(n):
+                for a, b in (e for part in edges for e in part):
+                    label[[a, b]] = min(label[a], label[b])
+            assert len(set(zip(label[ids].tolist(), want.tolist()))) == len(set(label.tolist())) == len(set(want.tolist()))
+            assert noise > 0.25 or clusters == n or len(edges[1]) < max(3, n / 3)
 
 
 def test_labels_are_long_and_begin_with_values_of_their_own():
