@@ -605,8 +605,35 @@ on_px("color_lut", "SELECT img, y, x, " + ", ".join(f"{_lut(c, 1.1, 1.2, 0.8)} A
 _SPRITE = "(SELECT p.img, y - ch * {row} AS y, x - cw * {col} AS x, r, g, b, a FROM px p JOIN (SELECT img, (max(x) + 1) // 4 AS cw, (max(y) + 1) // 3 AS ch FROM px GROUP BY img) s ON p.img = s.img WHERE x >= cw * {col} AND x < cw * ({col} + 1) AND y >= ch * {row} AND y < ch * ({row} + 1))"
 on_px("sprite_slice", f"SELECT * FROM {_SPRITE.format(row=1, col=2)} t", lambda p: pixels.sprite(p, 4, 3, 18))
 on_px("viewport_chain", "SELECT img, y, x, " + ", ".join(f"{_lut(c, 0.9, 1.3, 1.5)} AS {c}" for c in "rgb") + f", 255::BIGINT AS a FROM (SELECT img, y, x, r, g, 0 AS b FROM {_SPRITE.format(row=1, col=2)} s) t", lambda p: pixels.viewport(p, "RG", 18, 4, 3, 0.9, 1.3, 1.5))
-on_px("dhash_window", """
-WITH v AS (SELECT img, y, x, CAST(round(0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b) AS BIGINT) AS v FROM px WHERE x < 9 AND y < 8),
+
+
+def _resized(source: str, width: str, height: str) -> str:
+    """Relations up to ``small``, which has the rasters of ``source`` in another size; each new pixel gathers the old ones within reach."""
+    axis = lambda name, old, new: (
+        f"{name}0 AS (SELECT img, {old}, {old} / {new}::DOUBLE AS scale, unnest(range({new})) AS k FROM z), {name}1 AS (SELECT img, scale, k, unnest(range({old})) AS o FROM {name}0),\n"
+        f"{name} AS (SELECT * FROM (SELECT img, k, o, 1 - abs(o - ((k + 0.5::DOUBLE) * scale - 0.5::DOUBLE)) / greatest(1.0::DOUBLE, scale) AS wt FROM {name}1) u WHERE wt > 0)"
+    )
+    mean = ", ".join(f"CAST(round(round(sum({c} * zx.wt * zy.wt) / sum(zx.wt * zy.wt), 6)) AS BIGINT) AS {c}" for c in "rgba")
+    return f"""z AS (SELECT img, w, h, CAST({width} AS BIGINT) AS nw, CAST({height} AS BIGINT) AS nh FROM (SELECT img, max(x) + 1 AS w, max(y) + 1 AS h FROM {source} GROUP BY img) u),
+{axis("zx", "w", "nw")}, {axis("zy", "h", "nh")},
+small AS (SELECT p.img, zy.k AS y, zx.k AS x, {mean} FROM {source} p JOIN zx ON zx.img = p.img AND zx.o = p.x JOIN zy ON zy.img = p.img AND zy.o = p.y GROUP BY p.img, zy.k, zx.k)"""
+
+
+on_px("aspect_resize", f"WITH {_resized('px', 'floor(greatest(1.0, w * 1.5))', 'h')} SELECT * FROM small", lambda p: pixels.with_aspect(p, 1.5))
+on_px("raster_resize", f"WITH {_resized('px', '7', '5')} SELECT * FROM small", lambda p: pixels.resized(p, F.lit(7), F.lit(5)))
+_SEEN = "seen AS (SELECT img, y, x, " + ", ".join(f"{_lut(c, 0.9, 1.3, 1.5)} AS {c}" for c in "rgb") + f", 255::BIGINT AS a FROM {_SPRITE.format(row=0, col=0)} s WHERE img IN (0, 1)), {_resized('seen', 'floor(greatest(1.0, w * 0.5))', 'h')}"
+_CHAIN = dict(channels="RGB", frame=0, columns=4, rows=3, brightness=0.9, contrast=1.3, gamma=1.5, ratio=0.5)
+on_px("viewport_difference", f"""
+WITH {_SEEN} SELECT y, x, i AS r, 0::BIGINT AS g, 255 - i AS b, 255::BIGINT AS a FROM (
+  SELECT p.y AS y, p.x AS x, (abs(p.r - q.r) + abs(p.g - q.g) + abs(p.b - q.b) + abs(p.a - q.a)) // 4 AS i FROM small p JOIN small q ON p.y = q.y AND p.x = q.x AND p.img = 0 AND q.img = 1) t
+""", lambda p: pixels.viewport_compare(p, 0, 1, **_CHAIN)[0])
+on_px("viewport_histogram", f"""
+WITH {_SEEN}, c AS (SELECT img, CAST(round(0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b) AS BIGINT) AS bin, count(*) AS k FROM small GROUP BY 1, 2),
+f AS (SELECT s.img, s.bin, coalesce(c.k, 0) AS n FROM (SELECT img, unnest(range(256)) AS bin FROM (SELECT DISTINCT img FROM small) d) s LEFT JOIN c ON c.img = s.img AND c.bin = s.bin)
+SELECT img, bin, n, CAST(round(n / greatest(1, max(n) OVER (PARTITION BY img))::DOUBLE * 95) AS BIGINT) AS bar FROM f
+""", lambda p: pixels.viewport_compare(p, 0, 1, **_CHAIN)[1])
+on_px("dhash_window", f"""
+WITH {_resized('px', '9', '8')}, v AS (SELECT img, y, x, CAST(round(0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b) AS BIGINT) AS v FROM small),
 n AS (SELECT *, lead(v) OVER (PARTITION BY img, y ORDER BY x) AS w FROM v)
 SELECT img, CAST(coalesce(sum(CASE WHEN v > w THEN CASE WHEN y * 8 + x = 63 THEN -9223372036854775808::HUGEINT ELSE pow(2, y * 8 + x)::HUGEINT END END), 0) AS BIGINT) AS h FROM n GROUP BY img
 """, pixels.dhash_of)

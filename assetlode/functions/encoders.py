@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -84,21 +87,28 @@ class ColorEncoder:
 
 
 class OnnxEncoder:
-    """A model file run by onnxruntime; the session is opened once a worker."""
+    """Model files run by onnxruntime; a session is opened once a worker.
 
-    def __init__(self, path: str, spec: ModelSpec, threads: int = 4):
-        self.path, self.spec, self.dim, self.threads, self._session = path, spec, spec.dim, threads, None
+    Text needs the model's own text part and tokenizer file too.
+    """
+
+    def __init__(self, path: str, spec: ModelSpec, threads: int = 4, text_path: str | None = None, tokenizer: str | None = None):
+        self.path, self.spec, self.dim, self.threads = path, spec, spec.dim, threads
+        self.text_path, self.tokenizer, self._session, self._text, self._words = text_path, tokenizer, None, None, None
 
     def __getstate__(self):
-        return self.__dict__ | {"_session": None}
+        return self.__dict__ | {"_session": None, "_text": None, "_words": None}
+
+    def open(self, path: str):
+        import onnxruntime
+
+        options = onnxruntime.SessionOptions()
+        options.intra_op_num_threads = self.threads
+        return onnxruntime.InferenceSession(path, options)
 
     def session(self):
         if self._session is None:
-            import onnxruntime
-
-            options = onnxruntime.SessionOptions()
-            options.intra_op_num_threads = self.threads
-            self._session = onnxruntime.InferenceSession(self.path, options)
+            self._session = self.open(self.path)
         return self._session
 
     def pick(self, names: list[str], values: list[np.ndarray]) -> np.ndarray:
@@ -116,7 +126,39 @@ class OnnxEncoder:
         return self.pick([o.name for o in s.get_outputs()], s.run(None, {s.get_inputs()[0].name: batch}))
 
     def text(self, text: str) -> np.ndarray:
-        raise NotImplementedError("text needs the model's own tokenizer")
+        if self.text_path is None or self.tokenizer is None:
+            raise ValueError("this model has no text part, or no tokenizer was given")
+        if self._text is None:
+            from tokenizers import Tokenizer
+
+            self._text, self._words = self.open(self.text_path), Tokenizer.from_file(self.tokenizer)
+        coded = self._words.encode(text)
+        feeds = {"input_ids": np.array([coded.ids], dtype=np.int64), "attention_mask": np.array([coded.attention_mask], dtype=np.int64)}
+        wanted = {i.name for i in self._text.get_inputs()}
+        values = self._text.run(None, {n: v for n, v in feeds.items() if n in wanted})
+        return self.pick([o.name for o in self._text.get_outputs()], values)[0]
+
+
+def install_weights(source: str, target: str, least: int) -> str:
+    """Put a weights file that was fetched to ``source`` at ``target``: whole, or not at all.
+
+    A file of fewer than ``least`` bytes is refused, and a whole one already there
+    is kept.
+    """
+    if os.path.exists(target) and os.path.getsize(target) >= least:
+        return target
+    size = os.path.getsize(source)
+    if size < least:
+        raise ValueError(f"{source} has {size} bytes; {least} at least are expected")
+    os.makedirs(os.path.dirname(os.path.abspath(target)), exist_ok=True)
+    beside = f"{target}.{uuid.uuid4().hex}.part"
+    try:
+        shutil.copyfile(source, beside)
+        os.replace(beside, target)
+    finally:
+        if os.path.exists(beside):
+            os.remove(beside)
+    return target
 
 
 def encode_files(found: DataFrame, encoder: Encoder, batch: int = 128) -> DataFrame:

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from assetlode.operators.views import link_pairs, selected
 
-KINDS = ("trash", "hardlink", "copy")
+KINDS = ("trash", "hardlink", "reflink", "copy")
+#: Linux's request that makes a file share the blocks of another.
+FICLONE = 0x40049409
 
 
 def plan(members: DataFrame, checked: DataFrame, kind: str) -> DataFrame:
@@ -23,6 +25,27 @@ def plan(members: DataFrame, checked: DataFrame, kind: str) -> DataFrame:
     return link_pairs(members, checked).select(F.lit(kind).alias("action"), F.col("duplicate").alias("path"), "original")
 
 
+def plan_group(members: DataFrame, group_id) -> DataFrame:
+    """The plan that puts a whole group into the trash."""
+    return members.where(F.col("group_id") == group_id).select("path").distinct().select(F.lit("trash").alias("action"), "path", F.lit(None).cast("string").alias("original"))
+
+
+def clone(original: str, path: str) -> None:
+    """A copy that shares its blocks where the file system can do that, a plain one elsewhere."""
+    try:
+        import fcntl
+
+        with open(original, "rb") as source, open(path, "xb") as target:
+            fcntl.ioctl(target.fileno(), FICLONE, source.fileno())
+        shutil.copystat(original, path)
+    except (ImportError, OSError):
+        shutil.copy2(original, path)
+
+
+#: How a replacement is made of the original.
+REPLACE = {"hardlink": os.link, "reflink": clone, "copy": shutil.copy2}
+
+
 def carry_out(actions: DataFrame, trash: str | None = None, dry_run: bool = True) -> list[tuple[str, str, str]]:
     """Do a plan on local files, row by row; a dry run, the default, only says what it would do.
 
@@ -42,7 +65,7 @@ def carry_out(actions: DataFrame, trash: str | None = None, dry_run: bool = True
                     shutil.move(path, os.path.join(trash, f"{uuid.uuid4().hex}-{os.path.basename(path)}"))
                 elif not os.path.samefile(path, original):
                     beside = f"{path}.{uuid.uuid4().hex}"
-                    os.link(original, beside) if kind == "hardlink" else shutil.copy2(original, beside)
+                    REPLACE[kind](original, beside)
                     os.replace(beside, path)
                 state = "done"
             except OSError as e:

@@ -138,17 +138,51 @@ def inspect(px: DataFrame, first: int, second: int) -> DataFrame:
     return one.join(two, ["y2", "x2"]).select("y", "x", F.format_string("#%02X%02X%02X%02X", "r", "g", "b", "a").alias("hex"), *[unit(c) for c in "rgb"], text.alias("diff"))
 
 
+def _spread(v: str, old: str, new: str) -> Column:
+    """(at, weight) of the pixels of a resized line that a pixel counts for."""
+    scale = F.col(old) / F.col(new)
+    reach = F.greatest(F.lit(1.0), scale)
+    low, high = (F.col(v) + 0.5 - reach) / scale - 0.5, (F.col(v) + 0.5 + reach) / scale - 0.5
+    at = F.sequence(F.greatest(F.lit(0), F.ceil(low)).cast("bigint"), F.least(F.col(new) - 1, F.floor(high)).cast("bigint"))
+    return F.transform(at, lambda k: F.struct(k.alias("at"), (1 - F.abs(F.col(v) - ((k + 0.5) * scale - 0.5)) / reach).alias("weight")))
+
+
+def resized(px: DataFrame, width: Column, height: Column) -> DataFrame:
+    """Rasters of other sizes, columns of their own ``w`` and ``h``, by a triangle filter that widens as they shrink."""
+    size = px.groupBy("img").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    size = size.withColumns({"nw": width.cast("bigint"), "nh": height.cast("bigint")})
+    parts = px.join(size, "img").withColumn("ky", F.explode(_spread("y", "h", "nh"))).withColumn("kx", F.explode(_spread("x", "w", "nw")))
+    parts = parts.withColumn("k", F.col("ky.weight") * F.col("kx.weight")).where("k > 0")
+    total = F.sum("k")
+    mean = lambda c: F.round(F.round(F.sum(F.col(c) * F.col("k")) / total, 6)).cast("bigint").alias(c)
+    return parts.groupBy("img", F.col("ky.at").alias("y"), F.col("kx.at").alias("x")).agg(*[mean(c) for c in "rgba"])
+
+
+def with_aspect(px: DataFrame, ratio: float) -> DataFrame:
+    """Rasters stretched to ``ratio`` times their width; within a hundredth of 1 they stay."""
+    if abs(ratio - 1) < 1e-2:
+        return px
+    return resized(px, F.floor(F.greatest(F.lit(1.0), F.col("w") * ratio)), F.col("h"))
+
+
 def dhash_of(px: DataFrame, columns: int = 9, rows: int = 8) -> DataFrame:
-    """64-bit difference hashes of rasters that have ``columns`` x ``rows`` pixels at least, from their first ones."""
-    gray = px.where((F.col("x") < columns) & (F.col("y") < rows)).select("img", "y", "x", F.round(luma()).cast("bigint").alias("v"))
+    """64-bit difference hashes of rasters, each reduced as a whole to ``columns`` x ``rows`` pixels."""
+    gray = resized(px, F.lit(columns), F.lit(rows)).select("img", "y", "x", F.round(luma()).cast("bigint").alias("v"))
     beside = F.lead("v").over(Window.partitionBy("img", "y").orderBy("x"))
-    bits = gray.withColumn("beside", beside).where("beside is not null").where(F.col("v") > F.col("beside"))
-    found = bits.groupBy("img").agg(F.sum(F.expr(f"shiftleft(1L, CAST(y * {columns - 1} + x AS INT))")).alias("h"))
-    return px.select("img").distinct().join(found, "img", "left").select("img", F.coalesce("h", F.lit(0)).cast("bigint").alias("h"))
+    bits = gray.withColumn("beside", beside).where("beside is not null")
+    bit = F.when(F.col("v") > F.col("beside"), F.expr(f"shiftleft(1L, CAST(y * {columns - 1} + x AS INT))")).otherwise(F.lit(0))
+    return bits.groupBy("img").agg(F.sum(bit).cast("bigint").alias("h"))
 
 
-def viewport(px: DataFrame, channels: str, frame: int, columns: int, rows: int, brightness: float, contrast: float, gamma: float) -> DataFrame:
-    """Channel preview, sprite cell and colour correction, one after the other."""
+def viewport(px: DataFrame, channels: str, frame: int, columns: int, rows: int, brightness: float, contrast: float, gamma: float, ratio: float = 1.0) -> DataFrame:
+    """Channel preview, sprite cell, colour correction and aspect, one after the other."""
     return (
         px.transform(channel_preview, channels).transform(sprite, columns, rows, frame).transform(correct_colors, brightness, contrast, gamma)
+        .transform(with_aspect, ratio)
     )
+
+
+def viewport_compare(px: DataFrame, first: int, second: int, **chain) -> tuple[DataFrame, DataFrame]:
+    """The heat of the difference of two rasters after the chain of ``viewport``, and their histograms."""
+    seen = viewport(px.where(F.col("img").isin(first, second)), **chain)
+    return difference_heat(seen, first, second), luma_histogram(seen)

@@ -159,11 +159,53 @@ def red(data: bytes, w: int, h: int) -> np.ndarray:
     return np.dstack([v, v, v, np.full_like(v, 255)])
 
 
+def _eight(v: np.ndarray) -> np.ndarray:
+    """Linear values as bytes: what is outside 0 to 1 is clamped, what is no number is 0."""
+    return (np.clip(np.nan_to_num(v.astype(np.float64), nan=0.0, posinf=1.0, neginf=0.0), 0, 1) * 255).astype(np.uint8)
+
+
+def _opaque(colors: np.ndarray) -> np.ndarray:
+    return np.dstack([_eight(colors), np.full(colors.shape[:2], 255, np.uint8)])
+
+
+def half(data: bytes, w: int, h: int) -> np.ndarray:
+    return _eight(np.frombuffer(data, dtype="<f2", count=w * h * 4).reshape(h, w, 4))
+
+
+def single(data: bytes, w: int, h: int) -> np.ndarray:
+    return _eight(np.frombuffer(data, dtype="<f4", count=w * h * 4).reshape(h, w, 4))
+
+
+def half_red(data: bytes, w: int, h: int) -> np.ndarray:
+    return _opaque(np.frombuffer(data, dtype="<f2", count=w * h).reshape(h, w, 1).repeat(3, axis=2))
+
+
+def small_floats(data: bytes, w: int, h: int) -> np.ndarray:
+    """Unsigned floats of 11, 11 and 10 bits, five of them the exponent."""
+    v = np.frombuffer(data, dtype="<u4", count=w * h).reshape(h, w)
+
+    def value(bits: np.ndarray, fine: int) -> np.ndarray:
+        exponent, rest = (bits >> np.uint32(fine)).astype(np.int32) & 31, (bits & np.uint32((1 << fine) - 1)) / (1 << fine)
+        return np.where(exponent == 0, rest * 2.0**-14, (1 + rest) * 2.0 ** (exponent - 15))
+
+    return _opaque(np.dstack([value(v & np.uint32(0x7FF), 6), value(v >> np.uint32(11) & np.uint32(0x7FF), 6), value(v >> np.uint32(22), 5)]))
+
+
+def shared_exponent(data: bytes, w: int, h: int) -> np.ndarray:
+    """Three mantissas of nine bits under one exponent of five."""
+    v = np.frombuffer(data, dtype="<u4", count=w * h).reshape(h, w)
+    scale = 2.0 ** ((v >> np.uint32(27)).astype(np.int32) - 24)
+    return _opaque(np.dstack([(v >> np.uint32(9 * k) & np.uint32(0x1FF)) * scale for k in range(3)]))
+
+
 #: Bytes of a block (or of a pixel, where blocks are single pixels) and how many pixels wide one is.
-UNITS = {bc1: (8, 4), bc2: (16, 4), bc3: (16, 4), bc4: (8, 4), bc5: (16, 4), bgra: (4, 1), rgba: (4, 1), rgb: (3, 1), red: (1, 1)}
+UNITS = {
+    bc1: (8, 4), bc2: (16, 4), bc3: (16, 4), bc4: (8, 4), bc5: (16, 4), bgra: (4, 1), rgba: (4, 1), rgb: (3, 1), red: (1, 1),
+    half: (8, 1), single: (16, 1), half_red: (2, 1), small_floats: (4, 1), shared_exponent: (4, 1),
+}
 DDS_CODES = {b"DXT1": bc1, b"DXT3": bc2, b"DXT5": bc3, b"ATI1": bc4, b"BC4U": bc4, b"ATI2": bc5, b"BC5U": bc5}
-DXGI_CODES = {28: rgba, 29: rgba, 70: bc1, 71: bc1, 72: bc1, 73: bc2, 74: bc2, 75: bc2, 76: bc3, 77: bc3, 78: bc3, 79: bc4, 80: bc4, 82: bc5, 83: bc5, 87: bgra, 91: bgra}
-VK_CODES = {9: red, 23: rgb, 29: rgb, 37: rgba, 43: rgba, 44: bgra, 50: bgra, 131: bc1, 132: bc1, 133: bc1, 134: bc1, 135: bc2, 136: bc2, 137: bc3, 138: bc3, 139: bc4, 141: bc5}
+DXGI_CODES = {2: single, 10: half, 26: small_floats, 28: rgba, 29: rgba, 54: half_red, 61: red, 67: shared_exponent, 70: bc1, 71: bc1, 72: bc1, 73: bc2, 74: bc2, 75: bc2, 76: bc3, 77: bc3, 78: bc3, 79: bc4, 80: bc4, 82: bc5, 83: bc5, 87: bgra, 91: bgra}
+VK_CODES = {9: red, 23: rgb, 29: rgb, 37: rgba, 43: rgba, 44: bgra, 50: bgra, 76: half_red, 97: half, 109: single, 122: small_floats, 123: shared_exponent, 131: bc1, 132: bc1, 133: bc1, 134: bc1, 135: bc2, 136: bc2, 137: bc3, 138: bc3, 139: bc4, 141: bc5}
 
 
 def level_for(w: int, h: int, levels: int, target: int | None) -> int:
@@ -408,6 +450,63 @@ def bmp(data: bytes) -> np.ndarray | None:
     return image[::-1] if flip else image
 
 
+def radiance(data: bytes) -> np.ndarray | None:
+    """(height, width, 3) linear colours of a Radiance picture, its lines plain or in runs."""
+    at = data.index(b"\n\n") + 2
+    end = data.index(b"\n", at)
+    words = data[at:end].split()
+    if len(words) != 4 or words[0] != b"-Y" or words[2] != b"+X":
+        return None
+    h, w, at = int(words[1]), int(words[3]), end + 1
+    if not (0 < w <= MOST_PIXELS and 0 < h <= MOST_PIXELS):
+        raise ValueError("dimensions out of range")
+    out = np.zeros((h, w, 4), dtype=np.uint8)
+    for y in range(h):
+        if 8 <= w < 0x8000 and data[at : at + 2] == b"\2\2" and struct.unpack_from(">H", data, at + 2)[0] == w:
+            at += 4
+            for c in range(4):
+                line = bytearray()
+                while len(line) < w:
+                    n = data[at]
+                    line += data[at + 1 : at + 2] * (n - 128) if n > 128 else data[at + 1 : at + 1 + n]
+                    at += 2 if n > 128 else 1 + n
+                    if not n:
+                        raise ValueError("an empty run")
+                out[y, :, c] = np.frombuffer(bytes(line[:w]), dtype=np.uint8)
+        else:
+            line, shift = bytearray(), 0
+            while len(line) < 4 * w:
+                pixel = data[at : at + 4]
+                if len(pixel) < 4:
+                    raise ValueError("too few pixels")
+                at += 4
+                if pixel[:3] == b"\1\1\1":
+                    line += line[-4:] * (pixel[3] << shift)
+                    shift += 8
+                else:
+                    line += pixel
+                    shift = 0
+                if not line:
+                    raise ValueError("a run of nothing")
+            out[y] = np.frombuffer(bytes(line[: 4 * w]), dtype=np.uint8).reshape(w, 4)
+    return out[:, :, :3] * np.where(out[:, :, 3:] > 0, 2.0 ** (out[:, :, 3:].astype(np.int32) - 136), 0.0)
+
+
+def exposed(linear: np.ndarray) -> np.ndarray:
+    """Linear colours as bytes: exposed to middle grey, the filmic curve, then sRGB, as ``operators.tonemap`` has them for pixels in rows."""
+    y = linear @ np.array([0.2126, 0.7152, 0.0722])
+    lit = y[np.isfinite(y)]
+    mean = 2.0 ** (np.log2(np.maximum(lit, 0) + 1e-5).sum() / max(1, y.size))
+    c = linear * (np.clip(0.18 / mean, 0.01, 100) if mean > 1e-5 else 1.0)
+    c = np.clip(c * (c * 2.51 + 0.03) / (c * (c * 2.43 + 0.59) + 0.14), 0, 1)
+    return _opaque(np.where(c <= 0.0031308, 12.92 * c, 1.055 * np.power(c, 1 / 2.4) - 0.055))
+
+
+def hdr(data: bytes) -> np.ndarray | None:
+    linear = radiance(data)
+    return None if linear is None else exposed(linear)
+
+
 def decode(path: str, data: bytes, target: int | None = None, level: int | None = None) -> np.ndarray | None:
     """A raster, or None where there is no decoder for the bytes.
 
@@ -427,6 +526,8 @@ def decode(path: str, data: bytes, target: int | None = None, level: int | None
             return png(data)
         if data[:2] == b"BM" and extension_of(path) == "bmp":
             return bmp(data)
+        if data[:10] == b"#?RADIANCE" or data[:6] == b"#?RGBE":
+            return hdr(data)
         if extension_of(path) == "tga":
             return tga(data)
         if extension_of(path) in ("gz", "svgz"):
@@ -439,19 +540,48 @@ def decode(path: str, data: bytes, target: int | None = None, level: int | None
 # Reduction and hashing
 
 
+def _weights(old: int, new: int, how: str) -> np.ndarray:
+    """What each old pixel of a line counts for each new one."""
+    scale = old / new
+    centre = (np.arange(new) + 0.5) * scale
+    if how == "nearest":
+        return np.eye(old)[np.minimum(np.floor(centre), old - 1).astype(np.int64)]
+    away = (np.arange(old)[None, :] - centre[:, None] + 0.5) / max(1.0, scale)
+    w = np.clip(1 - np.abs(away), 0, None) if how == "triangle" else np.where(np.abs(away) < 3, np.sinc(away) * np.sinc(away / 3), 0)
+    return w / w.sum(axis=1, keepdims=True)
+
+
+def resize(image: np.ndarray, width: int, height: int, how: str = "triangle") -> np.ndarray:
+    """Another size by the nearest pixel, or a triangle or Lanczos filter that widens as the picture shrinks; halves are rounded up."""
+    out = np.einsum("yh,hwc->ywc", _weights(image.shape[0], height, how), image.astype(np.float64), optimize=True)
+    out = np.einsum("xw,ywc->yxc", _weights(image.shape[1], width, how), out, optimize=True)
+    return np.clip(np.floor(np.round(out, 6) + 0.5), 0, 255).astype(np.uint8)
+
+
 def triangle(image: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Resize with a triangle filter that widens as the picture shrinks."""
-
-    def weights(old: int, new: int) -> np.ndarray:
-        scale = old / new
-        reach = max(1.0, scale)
-        centre = (np.arange(new) + 0.5) * scale - 0.5
-        w = np.clip(1 - np.abs(np.arange(old)[None, :] - centre[:, None]) / reach, 0, None)
-        return w / w.sum(axis=1, keepdims=True)
-
-    out = np.einsum("yh,hwc->ywc", weights(image.shape[0], height), image.astype(np.float64))
-    out = np.einsum("xw,ywc->yxc", weights(image.shape[1], width), out)
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+    return resize(image, width, height)
+
+
+def fitted(image: np.ndarray, side: int, how: str = "triangle") -> np.ndarray:
+    """A picture whose longer side has at most ``side`` pixels, in its own proportions."""
+    h, w = image.shape[:2]
+    if max(w, h) <= side:
+        return image
+    scale = min(side / w, side / h)
+    return resize(image, max(1, int(w * scale + 0.5)), max(1, int(h * scale + 0.5)), how)
+
+
+def with_aspect(image: np.ndarray, ratio: float) -> np.ndarray:
+    """A picture stretched to ``ratio`` times its width; within a hundredth of 1 it stays."""
+    return image if abs(ratio - 1) < 1e-2 else resize(image, int(max(1.0, image.shape[1] * ratio)), image.shape[0])
+
+
+def png_bytes(image: np.ndarray) -> bytes:
+    """An 8-bit RGBA picture as a PNG file."""
+    h, w = image.shape[:2]
+    lines = np.concatenate([np.zeros((h, 1), np.uint8), image.reshape(h, w * 4)], axis=1)
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
 
 
 def dhash(gray: np.ndarray, signed: bool = False) -> int:
