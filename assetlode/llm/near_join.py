@@ -54,6 +54,8 @@ RECALL = 1 - 1e-6
 MARGIN = 0.2
 #: Documents of a block, where signatures meet and where sets are verified.
 BLOCK, VERIFY_BLOCK = 512, 128
+#: Shingles of a block of sets, unless one set alone has more: sets of very long texts meet in smaller blocks.
+BLOCK_SHINGLES = 1 << 22
 SEED = 6
 
 _rng = np.random.default_rng(SEED)
@@ -238,15 +240,18 @@ def in_size_blocks(members: DataFrame, threshold: float) -> DataFrame:
 
     ``class`` numbers sizes so that sets of similar size are of one class or of
     neighbouring ones; ``classes`` has a component's count of each. Blocks are cut
-    within classes, and only those that can have links meet. A component that fits
-    into one block is one.
+    within classes, by sets and by shingles, and only those that can have links
+    meet. A component that fits into one block is one.
     """
-    blocks = lambda c: F.ceil(F.coalesce(F.element_at("classes", c), F.lit(0)) / VERIFY_BLOCK).cast("long")
+    largest = lambda c: F.exp((c + 1) * size_step(threshold))
+    room = lambda c: F.greatest(F.lit(1), F.least(F.lit(VERIFY_BLOCK), F.floor(BLOCK_SHINGLES / largest(c))))
+    blocks = lambda c: F.ceil(F.coalesce(F.element_at("classes", c), F.lit(0)) / room(c)).cast("long")
     code = lambda c: F.transform(F.sequence(F.lit(0).cast("long"), blocks(c) - 1), lambda b: c.cast("long") * (1 << 32) + b)
     listed = lambda c: F.when(blocks(c) > 0, code(c)).otherwise(F.array().cast("array<long>"))
     own = F.col("class")
     mine = own.cast("long") * (1 << 32) + F.pmod(F.xxhash64("rep", F.lit(1)), F.greatest(blocks(own), F.lit(1)))
-    whole = F.col("members") <= VERIFY_BLOCK
+    shingled = F.aggregate(F.map_entries("classes"), F.lit(0.0), lambda total, e: total + e["value"] * largest(e["key"]))
+    whole = (F.col("members") <= VERIFY_BLOCK) & (shingled <= BLOCK_SHINGLES)
     dealt = members.withColumn("class", size_class(F.col("size"), threshold))
     dealt = dealt.withColumn("block", F.when(whole, F.lit(0).cast("long")).otherwise(mine))
     others = F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(F.concat(listed(own - 1), listed(own), listed(own + 1)))
@@ -254,9 +259,14 @@ def in_size_blocks(members: DataFrame, threshold: float) -> DataFrame:
     return dealt.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")}).drop("other", "class")
 
 
+def size_step(threshold: float) -> float:
+    """The logarithm of the ratio of the sizes of neighbouring classes: at least what the threshold allows."""
+    return max(math.log(1 / threshold) * (1 + 1e-9), 0.01)
+
+
 def size_class(size: F.Column, threshold: float) -> F.Column:
     """A number that differs by at most one between sets whose sizes allow a similarity of ``threshold``."""
-    return F.floor(F.log(size) / (math.log(1 / threshold) * (1 + 1e-9) if threshold < 1 else 1e-9)).cast("int")
+    return F.floor(F.log(size) / size_step(threshold)).cast("int")
 
 
 def verify(part: pa.RecordBatch, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

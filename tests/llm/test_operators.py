@@ -387,11 +387,20 @@ def test_sizes_part_blocks_but_no_links(spark, monkeypatch):
     sets, near, root = brute_classes(rows)
     want = {i: (0, len(near[s])) for (i, _), s in zip(rows, sets)}
     assert len(set(map(id, root.values()))) == 1
-    for size in (4, 1000):
+    for size, shingles in ((4, 1 << 22), (1000, 1 << 22), (1000, 500), (1000, 1)):
         monkeypatch.setattr(near_join, "VERIFY_BLOCK", size)
+        monkeypatch.setattr(near_join, "BLOCK_SHINGLES", shingles)
         assert {r.doc_id: (r.class_id, r.n_links) for r in near_join.join(frame).collect()} == want
 
 
+def test_only_equal_sets_are_linked_at_a_threshold_of_one(spark):
+    ship(spark)
+    text = prose(12, 300)
+    rows = [(1, text), (2, text + " "), (3, text + " more"), (4, text + " more words"), (5, "one"), (6, None)]
+    out = near_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 1.0).collect()
+    assert {r.doc_id: (r.class_id, r.n_links, r.copies) for r in out} == {1: (1, 0, 2), 2: (1, 0, 2), 3: (3, 0, 1), 4: (4, 0, 1), 5: (5, 0, 1), 6: (6, 0, 1)}
+
+
 def test_descent_ties_what_all_pairs_tie():
     rng = np.random.default_rng(8)
     for n, clusters, noise in ((3, 1, 0.1), (40, 4, 0.3), (200, 3, 0.38), (60, 60, 0.0), (150, 2, 0.2)):
