@@ -203,7 +203,7 @@ UNITS = {
     bc1: (8, 4), bc2: (16, 4), bc3: (16, 4), bc4: (8, 4), bc5: (16, 4), bgra: (4, 1), rgba: (4, 1), rgb: (3, 1), red: (1, 1),
     half: (8, 1), single: (16, 1), half_red: (2, 1), small_floats: (4, 1), shared_exponent: (4, 1),
 }
-DDS_CODES = {b"DXT1": bc1, b"DXT3": bc2, b"DXT5": bc3, b"ATI1": bc4, b"BC4U": bc4, b"ATI2": bc5, b"BC5U": bc5}
+DDS_CODES = {b"DXT1": bc1, b"DXT2": bc2, b"DXT3": bc2, b"DXT4": bc3, b"DXT5": bc3, b"ATI1": bc4, b"BC4U": bc4, b"ATI2": bc5, b"BC5U": bc5}
 DXGI_CODES = {2: single, 10: half, 26: small_floats, 28: rgba, 29: rgba, 54: half_red, 61: red, 67: shared_exponent, 70: bc1, 71: bc1, 72: bc1, 73: bc2, 74: bc2, 75: bc2, 76: bc3, 77: bc3, 78: bc3, 79: bc4, 80: bc4, 82: bc5, 83: bc5, 87: bgra, 91: bgra}
 VK_CODES = {9: red, 23: rgb, 29: rgb, 37: rgba, 43: rgba, 44: bgra, 50: bgra, 76: half_red, 97: half, 109: single, 122: small_floats, 123: shared_exponent, 131: bc1, 132: bc1, 133: bc1, 134: bc1, 135: bc2, 136: bc2, 137: bc3, 138: bc3, 139: bc4, 141: bc5}
 
@@ -220,8 +220,48 @@ def level_bytes(w: int, h: int, unit: int, edge: int) -> int:
     return -(-w // edge) * -(-h // edge) * unit
 
 
+#: Pairs of bytes, by the first one's place in a block, that files with a reversed code have in the other order.
+REVERSED_PAIRS = {bc1: (0, 2), bc4: (0, 2), bc2: (8, 10), bc3: (2, 4, 6, 8, 10), bc5: (2, 4, 6, 10, 12, 14)}
+
+
+def in_order(data: bytes, read) -> bytes:
+    """Bytes of a file with a reversed code, pairs turned round; of formats without blocks, every pair."""
+    size = UNITS[read][0] if read in REVERSED_PAIRS else 2
+    raw = np.frombuffer(data, dtype=np.uint8, count=len(data) // size * size).reshape(-1, size).copy()
+    for k in REVERSED_PAIRS.get(read, (0,)):
+        raw[:, [k, k + 1]] = raw[:, [k + 1, k]]
+    return raw.tobytes()
+
+
+def z_order(width: int, height: int) -> np.ndarray:
+    """The place of each cell along a Z curve; bits that only the longer side has come last."""
+    x, y = np.arange(width)[None, :], np.arange(height)[:, None]
+    out, place = np.zeros((height, width), dtype=np.int64), 0
+    for bit in range(max(width - 1, height - 1).bit_length()):
+        for axis, side in ((x, width), (y, height)):
+            if bit < (side - 1).bit_length():
+                out |= (axis >> bit & 1) << place
+                place += 1
+    return out
+
+
+def in_rows(data: bytes, w: int, h: int, unit: int) -> bytes:
+    """Blocks that lie along a Z curve, line by line; blocks beyond the data are zero."""
+    places = z_order(-(-w // 4), -(-h // 4)).ravel()
+    raw = np.frombuffer(data, dtype=np.uint8, count=len(data) // unit * unit).reshape(-1, unit)
+    out = np.zeros((len(places), unit), dtype=np.uint8)
+    there = places < len(raw)
+    out[there] = raw[places[there]]
+    return out.tobytes()
+
+
 def dds(data: bytes, target: int | None = None, level: int | None = None, face: int = 0) -> np.ndarray | None:
-    """A level of a face: ``level``, or the smallest one whose sides have ``target`` pixels."""
+    """A level of a face: ``level``, or the smallest one whose sides have ``target`` pixels.
+
+    Reversed codes mean reversed pairs of bytes. A marker before the blocks says that
+    they lie along a Z curve ("CRYF"; such files are read at their first level) or
+    that they don't ("FYRC").
+    """
     if data[:4] != b"DDS ":
         raise ValueError("no DDS header")
     h, w = struct.unpack_from("<II", data, 12)
@@ -229,6 +269,8 @@ def dds(data: bytes, target: int | None = None, level: int | None = None, face:
         raise ValueError("dimensions out of range")
     levels = max(1, min(struct.unpack_from("<I", data, 28)[0], max(w, h).bit_length()))
     code, bits, at = data[84:88], struct.unpack_from("<I", data, 88)[0], 128
+    turned = code[::-1] in DDS_CODES or code == b"01XD"
+    code = code[::-1] if turned else code
     if code == b"DX10":
         read, at = DXGI_CODES.get(struct.unpack_from("<I", data, 128)[0]), 148
     else:
@@ -236,6 +278,14 @@ def dds(data: bytes, target: int | None = None, level: int | None = None, face:
     if read is None and (code == b"DX10" or bits not in (24, 32)):
         return None
     unit, edge = UNITS[read] if read else (bits // 8, 1)
+    marker = data[at : at + 4] if edge == 4 else b""
+    at += {b"CRYF": 8, b"FYRC": 4}.get(marker, 0)
+    if marker == b"CRYF":
+        size = level_bytes(w, h, unit, edge)
+        if len(data) < at + size:
+            raise ValueError("too few blocks")
+        body = in_rows(data[at:], w, h, unit)
+        return read(in_order(body, read) if turned else body, w, h)
     sizes = [level_bytes(max(1, w >> k), max(1, h >> k), unit, edge) for k in range(levels)]
     level = level_for(w, h, levels, target) if level is None else level
     if not 0 <= level < levels:
@@ -243,7 +293,8 @@ def dds(data: bytes, target: int | None = None, level: int | None = None, face:
     at += face * sum(sizes) + sum(sizes[:level])
     w, h = max(1, w >> level), max(1, h >> level)
     if read:
-        return read(data[at : at + sizes[level]], w, h)
+        body = data[at : at + sizes[level]]
+        return read(in_order(body, read) if turned else body, w, h)
     texels = np.frombuffer(data, dtype=np.uint8, count=w * h * bits // 8, offset=at).reshape(h, w, bits // 8).astype(np.uint32)
     raw = sum(texels[:, :, k] << np.uint32(8 * k) for k in range(bits // 8))
     masks = struct.unpack_from("<4I", data, 92)

@@ -53,6 +53,39 @@ def test_bmp_and_dds():
     assert (decoders.decode("a.dds", bytes(dds) + RGBA[:, :, [2, 1, 0]].tobytes()) == RGB).all()
 
 
+def blocks_file(w, h, code, body):
+    head = bytearray(128)
+    head[:4], head[84:88] = b"DDS ", code
+    struct.pack_into("<II", head, 12, h, w)
+    return bytes(head) + body
+
+
+def test_z_order():
+    assert decoders.z_order(4, 4).tolist() == [[0, 1, 4, 5], [2, 3, 6, 7], [8, 9, 12, 13], [10, 11, 14, 15]]
+    assert decoders.z_order(8, 2).tolist() == [[0, 1, 4, 5, 8, 9, 12, 13], [2, 3, 6, 7, 10, 11, 14, 15]]
+    assert decoders.z_order(1, 4).ravel().tolist() == [0, 1, 2, 3] and decoders.z_order(1, 1).tolist() == [[0]]
+    for w, h in ((16, 4), (2, 32), (8, 8)):
+        assert sorted(decoders.z_order(w, h).ravel()) == list(range(w * h))
+
+
+@pytest.mark.parametrize("code, unit", [(b"DXT1", 8), (b"DXT3", 16), (b"DXT5", 16), (b"ATI1", 8), (b"ATI2", 16)])
+def test_swizzled_and_reversed_blocks(code, unit):
+    w, h = 32, 16
+    blocks = np.random.default_rng(3).integers(0, 256, (h // 4, w // 4, unit)).astype(np.uint8)
+    want = decoders.dds(blocks_file(w, h, code, blocks.tobytes()))
+    along = np.empty((blocks.shape[0] * blocks.shape[1], unit), np.uint8)
+    along[decoders.z_order(w // 4, h // 4).ravel()] = blocks.reshape(-1, unit)
+    assert (decoders.dds(blocks_file(w, h, code, b"CRYF" + bytes(4) + along.tobytes())) == want).all()
+    assert (decoders.dds(blocks_file(w, h, code, b"FYRC" + blocks.tobytes())) == want).all()
+    read = decoders.DDS_CODES[code]
+    turned = decoders.in_order(blocks.tobytes(), read)
+    assert turned != blocks.tobytes() and decoders.in_order(turned, read) == blocks.tobytes()
+    assert (decoders.dds(blocks_file(w, h, code[::-1], turned)) == want).all()
+    turned_along = decoders.in_order(along.tobytes(), read)
+    assert (decoders.dds(blocks_file(w, h, code[::-1], b"CRYF" + bytes(4) + turned_along)) == want).all()
+    assert decoders.decode("a.dds", blocks_file(w, h, code, b"CRYF" + bytes(4) + along.tobytes()[:-unit])) is None
+
+
 def test_what_has_no_decoder_is_listed(spark, tmp_path):
     from assetlode.plans.params import ScanParams, scan
 
