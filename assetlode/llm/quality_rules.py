@@ -1,15 +1,18 @@
 """Quality rules by an isolation forest over rule statistics.
 
 Each text gives a few counts. Two fixed rules reject on their own; for the rest an
-isolation forest is grown on the statistics of good rows in a bounded sample of
-labelled ones. Its random splits fall anywhere in the box that all labelled rows
-span, so that a document where no good one is ends on a short path. The threshold
-on the anomaly score is calibrated on the sample so that at most ``good_lost`` of
-the good rows fall. One pass over all texts then counts, scores and decides.
+isolation forest scores the statistics. Its random splits fall anywhere in the box
+that all labelled rows span, and every good labelled row is counted in every tree,
+so that a document where no good one is ends on a short path. The threshold on the
+anomaly score is the exact quantile over all good rows above which at most
+``good_lost`` of them fall. Statistics, counts and scores of labelled rows are
+made by the tasks; only a tree's counts and those of bins of scores, of a fixed
+number, reach the driver. One more pass over all texts counts, scores and decides.
 
 Defined results: a null text has no words and fails the base rules, as an empty
 one does; without labelled rows only the base rules decide; repeated rows are
-judged each; an empty table gives no rows; other columns are ignored.
+judged each, and each counts in the forest; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetlode.llm.arrow import longs, map_rows
+from assetlode.plans.staging import discard, materialize
 
 # Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -29,9 +33,11 @@ MOST_REPEATED = 50  # percent
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
-SAMPLE_ROWS = 20_000
-TREES, SUBSAMPLE, SEED = 100, 256, 3
+TREES, DEPTH, SEED = 100, 8, 3
 GOOD_LOST = 0.001
+#: Bins in which scores are counted at a time.
+BINS = 4_096
+FEATURES = ["f0", "f1", "f2", "f3"]
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -99,50 +105,62 @@ def mean_depth(n: int) -> float:
 
 
 class IsolationForest:
-    """Trees as arrays: feature, split, left, right, and the path length at leaves."""
+    """Trees of random splits of a box, node ``k`` above ``2k + 1`` and ``2k + 2``; ``fill`` gives them the paths that rows make."""
 
-    def __init__(self, rows: np.ndarray, box: tuple[np.ndarray, np.ndarray] | None = None, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED):
+    def __init__(self, low: np.ndarray, high: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        low, high = box or (rows.min(axis=0), rows.max(axis=0))
-        self.size = min(subsample, len(rows))
-        self.limit = int(np.ceil(np.log2(max(self.size, 2))))
-        self.trees = [self._grow(rows[rng.choice(len(rows), self.size, replace=False)], low, high, rng) for _ in range(trees)]
-
-    def _grow(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray, rng: np.random.Generator):
-        nodes: list[list[float]] = []
-
-        def add(part: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int) -> int:
-            me = len(nodes)
-            nodes.append([-1, 0.0, 0, 0, depth + mean_depth(len(part))])
-            free = np.flatnonzero(high > low)
-            if depth < self.limit and len(part) and len(free):
-                f = int(rng.choice(free))
-                at = float(rng.uniform(low[f], high[f]))
-                left = part[:, f] <= at
-                below, above = high.copy(), low.copy()
-                below[f] = above[f] = at
-                nodes[me][:2] = [f, at]
-                nodes[me][2] = add(part[left], low, below, depth + 1)
-                nodes[me][3] = add(part[~left], above, high, depth + 1)
-            return me
-
-        add(rows, low, high, 0)
-        table = np.array(nodes)
-        return table[:, 0].astype(np.int64), table[:, 1], table[:, 2].astype(np.int64), table[:, 3].astype(np.int64), table[:, 4]
+        self.depth, self.nodes, self.size = depth, (2 << depth) - 1, 0
+        self.feature, self.at = np.full((trees, self.nodes), -1), np.zeros((trees, self.nodes))
+        self.path = np.zeros((trees, self.nodes))
+        for t in range(trees):
+            boxes = {0: (low, high)}
+            for k in range((1 << depth) - 1):
+                if k not in boxes:
+                    continue
+                low_, high_ = boxes.pop(k)
+                free = np.flatnonzero(high_ > low_)
+                if len(free):
+                    f = int(rng.choice(free))
+                    at = float(rng.uniform(low_[f], high_[f]))
+                    self.feature[t, k], self.at[t, k] = f, at
+                    below, above = high_.copy(), low_.copy()
+                    below[f] = above[f] = at
+                    boxes[2 * k + 1], boxes[2 * k + 2] = (low_, below), (above, high_)
+
+    def leaves(self, rows: np.ndarray, tree: int) -> np.ndarray:
+        """The node at which each row ends."""
+        feature, at = self.feature[tree], self.at[tree]
+        node, every = np.zeros(len(rows), dtype=np.int64), np.arange(len(rows))
+        for _ in range(self.depth):
+            f = feature[node]
+            right = rows[every, np.maximum(f, 0)] > at[node]
+            node = np.where(f >= 0, 2 * node + 1 + right, node)
+        return node
+
+    def counts(self, rows: np.ndarray) -> np.ndarray:
+        """Rows that end at each node of each tree."""
+        return np.array([np.bincount(self.leaves(rows, t), minlength=self.nodes) for t in range(len(self.path))])
+
+    def fill(self, counts: np.ndarray) -> IsolationForest:
+        """The paths of trees that hold the counted rows: a path ends at the first node without any."""
+        mass = counts.astype(np.int64)
+        for k in range((1 << self.depth) - 2, -1, -1):
+            mass[:, k] += mass[:, 2 * k + 1] + mass[:, 2 * k + 2]
+        self.size = int(mass[0, 0])
+        ended = np.full(mass.shape, -1)
+        for k in range(self.nodes):
+            level = (k + 1).bit_length() - 1
+            above = ended[:, (k - 1) // 2] if k else ended[:, 0]
+            ended[:, k] = np.where(above >= 0, above, np.where(mass[:, k] == 0, level, -1))
+            self.path[:, k] = np.where(ended[:, k] >= 0, ended[:, k], level + np.array([mean_depth(n) for n in mass[:, k].tolist()]))
+        return self
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         """Anomaly scores in 0 to 1; short paths score high."""
         total = np.zeros(len(rows))
-        every = np.arange(len(rows))
-        for feature, at, left, right, path in self.trees:
-            node = np.zeros(len(rows), dtype=np.int64)
-            for _ in range(self.limit):
-                f = feature[node]
-                inner = f >= 0
-                go_left = rows[every, np.maximum(f, 0)] <= at[node]
-                node = np.where(inner, np.where(go_left, left[node], right[node]), node)
-            total += path[node]
-        return 2.0 ** (-total / len(self.trees) / max(mean_depth(self.size), 1e-9))
+        for t in range(len(self.path)):
+            total += self.path[t, self.leaves(rows, t)]
+        return 2.0 ** (-total / len(self.path) / max(mean_depth(self.size), 1.0))
 
 
 class QualityModel:
@@ -174,28 +192,66 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     return found.groupBy("doc_id", "label").agg(F.max("text").alias("text"))
 
 
-def calibrated(scores: np.ndarray, good: np.ndarray, good_lost: float) -> float:
-    """The lowest threshold above which at most ``good_lost`` of the good rows score."""
-    own = np.sort(scores[good])
-    return float(own[max(0, int(np.ceil(len(own) * (1 - good_lost))) - 1)]) if len(own) else 1.0
+def nth_least(values: DataFrame, column: str, n: int) -> float:
+    """The ``n``-th least value, exactly: counts in ever narrower bins, of which a fixed number reaches the driver."""
+    low, high = values.agg(F.min(column), F.max(column)).first()
+    while low < high:
+        place = F.least(F.floor((F.col(column) - low) / ((high - low) / BINS)), F.lit(BINS - 1))
+        bins = values.where(F.col(column).between(low, high)).groupBy(place.alias("bin")).agg(F.count(F.lit(1)), F.min(column), F.max(column))
+        for _, rows, low, high in sorted(map(tuple, bins.collect())):
+            if n <= rows:
+                break
+            n -= rows
+    return float(low)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, good_lost: float = GOOD_LOST) -> QualityModel:
-    """Grow and calibrate on at most ``rows`` labelled rows."""
+def matrix(part: pa.RecordBatch) -> np.ndarray:
+    return np.stack([part.column(f).to_numpy() for f in FEATURES], axis=1)
 
-    def measure(part: pa.RecordBatch) -> dict:
-        made = [statistics(t) for t in part.column("text").to_pylist()]
-        return {"label": part.column("label"), "failed": pa.array(base_failed(np.array([m[0] for m in made]))), "features": pa.array([m[1] for m in made], pa.list_(pa.float64()))}
 
-    sample = map_rows(labelled_sample(docs, labels, "quality", rows), measure, "label int, failed boolean, features array<double>")
-    rows_ = sorted((tuple(r["features"]), r["label"]) for r in sample.where(~F.col("failed")).collect())
-    if len(rows_) < 2:
-        return QualityModel(None, 1.0)
-    features, good = np.array([r[0] for r in rows_]), np.array([r[1] == 1 for r in rows_])
-    if not good.any():
+def labelled_statistics(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """good and the features of every row with a label that passes the base rules, once for each label its doc_id has."""
+    id_type = dict(docs.dtypes)["doc_id"]
+
+    def measure(part: pa.RecordBatch) -> dict:
+        made = [statistics(t or "") for t in part.column("text").to_pylist()]
+        passed = np.flatnonzero(~base_failed(np.array([m[0] for m in made])))
+        return {"doc_id": part.column("doc_id").take(longs(passed))} | {c: pa.array([made[k][1][i] for k in passed], pa.float64()) for i, c in enumerate(FEATURES)}
+
+    # Numbers are shuffled by doc_id, not texts.
+    measured = map_rows(docs.select("doc_id", "text").where("doc_id is not null"), measure, f"doc_id {id_type}, " + ", ".join(f"{f} double" for f in FEATURES))
+    some = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("label")).distinct()
+    return measured.join(some, "doc_id").select((F.col("label") == 1).alias("good"), *FEATURES)
+
+
+def fit(docs: DataFrame, labels: DataFrame, good_lost: float = GOOD_LOST) -> QualityModel:
+    """Grow and calibrate on all labelled rows."""
+    known = materialize(labelled_statistics(docs, labels), "labelled-statistics")
+    seen = known.agg(F.count(F.lit(1)), F.count_if("good"), *[F.min(f) for f in FEATURES], *[F.max(f) for f in FEATURES]).first()
+    rows, n_good = seen[0], seen[1]
+    if rows < 2 or not n_good:
+        discard(known)
         return QualityModel(None, 1.0)
-    forest = IsolationForest(features[good], (features.min(axis=0), features.max(axis=0)))
-    return QualityModel(forest, calibrated(forest.score(features), good, good_lost))
+    forest = IsolationForest(np.array(seen[2 : 2 + len(FEATURES)]), np.array(seen[2 + len(FEATURES) :]))
+    good = known.where("good").select(*FEATURES)
+
+    def count(batches):
+        total = np.zeros(forest.path.shape, dtype=np.int64)
+        for part in batches:
+            total += forest.counts(matrix(part))
+        flat = total.ravel()
+        some = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([longs(some), longs(flat[some])], names=["node", "n"])
+
+    mass = np.zeros(forest.path.size, dtype=np.int64)
+    for node, n in good.mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n")).collect():  # at most a row for each node
+        mass[node] = n
+    forest.fill(mass.reshape(forest.path.shape))
+
+    scores = materialize(map_rows(good, lambda part: {"score": pa.array(forest.score(matrix(part)))}, "score double", rows=10_000), "quality-scores")
+    threshold = nth_least(scores, "score", max(1, int(np.ceil(n_good * (1 - good_lost)))))
+    discard(known, scores)
+    return QualityModel(forest, threshold)
 
 
 def judge(docs: DataFrame, model: QualityModel) -> DataFrame:

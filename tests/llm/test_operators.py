@@ -184,6 +184,36 @@ def test_quality_rules(spark, docs, empty):
     assert quality_rules.judge(empty, model).count() == 0
 
 
+def test_the_forest_and_its_threshold_are_of_all_labelled_rows(spark):
+    """More good rows than a sample would hold, some ids repeated: each is in every tree and in the quantile, and the box spans the last of them."""
+    ship(spark)
+    n = 21_000
+    word = "case when pmod(hash(id, k), 1000) < id % 40 then concat('AB#!', k) else concat('w', k) end"
+    every = spark.range(n).select((F.col("id") % (n - 500)).alias("doc_id"), F.expr(f"array_join(transform(sequence(1, 60), k -> {word}), ' ')").alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 50 > 0).cast("int").alias("quality"))
+    model = quality_rules.fit(every, labels)
+    made = [(r.doc_id % 50 > 0, quality_rules.statistics(r.text)[1]) for r in every.collect()]
+    good, features = np.array([m[0] for m in made]), np.array([m[1] for m in made])
+    assert model.forest.size == good.sum() > 20_000
+    brute = quality_rules.IsolationForest(features.min(axis=0), features.max(axis=0))
+    assert (brute.at == model.forest.at).all()
+    for t in (0, 57):
+        ends = Counter(brute.leaves(features[good], t).tolist())
+        for leaf, count in ends.items():
+            depth = (leaf + 1).bit_length() - 1
+            assert model.forest.path[t, leaf] == depth + quality_rules.mean_depth(count)
+    scores = np.sort(model.forest.score(features[good]))
+    assert model.threshold == scores[math.ceil(len(scores) * (1 - quality_rules.GOOD_LOST)) - 1]
+    assert (scores > model.threshold).sum() <= quality_rules.GOOD_LOST * len(scores)
+
+
+def test_nth_least(spark):
+    rng = np.random.default_rng(2)
+    values = np.concatenate([rng.random(400), np.full(50, 0.5), [0.5 + 1e-15, 0.5 - 1e-15], np.full(5, 1.0)])
+    frame = spark.createDataFrame([(float(v),) for v in values], "score double")
+    assert all(quality_rules.nth_least(frame, "score", k) == np.sort(values)[k - 1] for k in (1, 2, 200, 230, 260, 457))
+
+
 # 4
 
 
