@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,16 +10,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+#: Caches that workers keep between tasks.
+_caches: list = []
+
+
+def kept_by_workers(cache):
+    """Marks an ``lru_cache`` that tasks of its own module share; workers empty it when they turn to another module's rows."""
+    _caches.append(cache)
+    return cache
+
+
+def turn_to(module: str) -> None:
+    for cache in _caches:
+        if cache.__module__ != module:
+            cache.cache_clear()
+
+
+def give_back() -> None:
+    """Free memory goes back to the system: idle workers count against their executor's limit."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array] | None], schema: str, rows: int = 500) -> DataFrame:
     """``fn`` over slices of at most ``rows`` rows; it returns the columns of ``schema``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    module = fn.__module__
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 out = fn(batch.slice(at, rows))
                 if out:
                     yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to(module)
+        yield from slices(batches)
+        give_back()
+
     return df.mapInArrow(run, schema)
 
 
@@ -64,3 +96,5 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
             pending.append(batch.slice(a, z - a))
     if pending:
         yield joined()
+        pending = []
+    give_back()

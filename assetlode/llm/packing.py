@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetlode.llm.arrow import longs, map_rows
+from assetlode.llm.arrow import kept_by_workers, longs, map_rows
 from assetlode.llm.bpe import byte_letters
 from assetlode.llm.memo import Memo
 from assetlode.llm.ranking import running_total
@@ -115,6 +115,7 @@ class WordEncoder:
         return out
 
 
+@kept_by_workers
 @functools.lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)

@@ -144,6 +144,22 @@ def test_word_encoder_equals_the_tokenizer(path):
     assert [a.tolist() for a in encoder.encode(pa.array(texts))] == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_workers_drop_the_memos_of_packing_for_other_operators(spark, docs, path):
+    """An idle worker's memos count against its executor: they stay from task to task of packing, and no longer."""
+    from assetlode.llm import arrow
+
+    tokens = packing.tokenise(docs, path["word_bpe_49k.json"])
+    held = lambda part: {"held": pa.array([packing.word_encoder.cache_info().currsize] * part.num_rows, pa.int64())}
+    for _ in range(2):
+        assert tokens.count() == len(ROWS)
+        assert {r.held for r in arrow.map_rows(spark.range(0, 80, 1, 16), held, "held long").collect()} == {0}
+    packing.word_encoder(path["word_bpe_49k.json"])
+    arrow.turn_to("assetlode.llm.packing")
+    assert packing.word_encoder.cache_info().currsize
+    arrow.turn_to("assetlode.llm.quality_rules")
+    assert not packing.word_encoder.cache_info().currsize
+
+
 # 3
 
 
